@@ -108,8 +108,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. Prediction takes the place of a stage's input row by row, so repeated rows stay."""
     dicts = learn(docs.where(~is_held_out()))
-    gone = identify(docs, dicts, is_held_out()).where("rejected").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*docs.columns)
+    gone = identify(docs, dicts, is_held_out()).where("rejected").select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti").select(*docs.columns)
 
 
 SQL: dict[str, str] = {}

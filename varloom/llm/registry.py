@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from varloom.llm import chat_format, html_extract, knn_join, language_id, pii, sentencepiece_sampling, simhash_dedup, url_filter
+from varloom.llm import chat_format, decontaminate, html_extract, knn_join, language_id, line_dedup, pii, sentencepiece_sampling, simhash_dedup, url_filter
 
-MODULES = (chat_format, pii, html_extract, knn_join, language_id, sentencepiece_sampling, url_filter, simhash_dedup)
+MODULES = (line_dedup, chat_format, pii, html_extract, knn_join, language_id, sentencepiece_sampling, decontaminate, url_filter, simhash_dedup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
