@@ -152,7 +152,7 @@ def null_attributions(rows: DataFrame, drop_sex: bool = False) -> DataFrame:
 def studies(spark: SparkSession, path: str, max_p: float = 5e-8) -> DataFrame:
     """gene, disease_trait, p_value of an association catalogue: genes are split at the first separator
     present (', ', ' - ', '-'), empty ones and NR go, and each gene and trait is met once."""
-    rows = spark.read.csv(path, sep="\t", header=True, encoding="latin1")
+    rows = spark.read.csv(path, sep="\t", header=True, encoding="iso-8859-1")
     gene, trait, p = (pick(rows.columns, n) for n in (("mapped_gene", "mapped gene", "gene"), ("disease/trait", "disease_trait"), ("p-value", "p_value")))
     g = F.col(f"`{gene}`")
     parts = F.when(g.contains(","), F.split(g, ",")).when(g.contains(" - "), F.split(g, " - ")).when(g.contains("-"), F.split(g, "-")).otherwise(F.array(g))
