@@ -15,8 +15,9 @@ search, whose bounds are drawn for the whole text at once.
 from __future__ import annotations
 
 import math
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,7 @@ from varloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, OFFSET, ALPHA = 2, 2.7, 2.0
-CACHED = 150_000  # units
+CACHED = 500_000  # units
 SHORT = 24  # characters of a unit whose masses can't underflow
 FLUSH = 2_000_000  # pieces of an output batch
 
@@ -70,12 +71,12 @@ class Pieces:
     def lattice(self, unit: str) -> tuple[list, list[float], list[float], list]:
         """Arcs (probability, end, ids), the mass and the best path's probability from each place to
         the end, and the best arc; for units of SHORT characters at most."""
-        n, nodes = len(unit), self.nodes
+        n, get = len(unit), self.nodes.get
         arcs, mass, top, arc = [None] * n, [1.0] * (n + 1), [1.0] * (n + 1), [None] * n
         for i in range(n - 1, -1, -1):
             here, total, high, best = [], 0.0, -1.0, None
             for j in range(i + 1, n + 1):
-                node = nodes.get(unit[i:j])
+                node = get(unit[i:j])
                 if node is None:
                     break
                 p, ids = node
@@ -130,6 +131,30 @@ class Pieces:
             self.q.append(min(1.0, top[0] / mass[0] if short else math.exp(top[0] - mass[0])))
         return at
 
+    def deviate(self, unit: str, draw: Callable[[], float]) -> tuple[Seg, float]:
+        """As other(), for a short unit whose best segmentation is the one taken: what is left below
+        a place on the best path is its mass less the best path's share."""
+        arcs, mass, top, arc = self.lattice(unit)
+        n, i, on_best, seg, q = len(unit), 0, True, (), 1.0
+        while i < n:
+            best = arc[i]
+            u = draw() * (mass[i] - top[i] if on_best else mass[i])
+            chosen = None
+            for a in arcs[i]:
+                w = a[0] * (mass[a[1]] - top[a[1]] if on_best and a is best else mass[a[1]])
+                if w > 0.0:
+                    chosen = a
+                    if u < w:
+                        break
+                    u -= w
+            if chosen is None:
+                return (), 0.0
+            on_best = on_best and chosen is best
+            seg += chosen[2]
+            q *= chosen[0]
+            i = chosen[1]
+        return ((), 0.0) if on_best else (seg, q / mass[0])
+
     def other(self, unit: str, taken: list[Seg], rng: np.random.Generator) -> tuple[Seg, float]:
         """A segmentation that is none of those taken, with its probability.
 
@@ -185,6 +210,7 @@ class Pieces:
             return []
         if len(self.segs) > CACHED:
             self.best, self.segs, self.q = {}, [], []
+        draw = random.Random(int(rng.integers(1 << 62))).random
         flat = f"{SPACE}{text.replace(SPACE, LITERAL).replace(' ', SPACE)}"
         units = _UNITS.findall(flat)
         known, number = self.best, self.number
@@ -206,7 +232,8 @@ class Pieces:
                 spent = sum(self.prob(units[start], t) for t in taken)
                 first += 1
             for i in (np.flatnonzero(rng.random(len(units) - first) >= best_q[first:]) + first).tolist():
-                seg, p = self.other(units[i], [segs[i]], rng)
+                unit = units[i]
+                seg, p = self.deviate(unit, draw) if len(unit) <= SHORT else self.other(unit, [segs[i]], rng)
                 if p > 0.0:
                     choice[i], q[i] = seg, p
             log_q = np.log(np.maximum(q, 1e-300))
