@@ -33,8 +33,8 @@ def test_banded_distance_and_segments(spark):
     df = spark.createDataFrame(rows, "a string, b string, d int")
     for r in df.select("d", banded_distance(F.col("a"), F.col("b")).alias("got")).collect():
         assert r.got == r.d if r.d <= EDITS else r.got > EDITS
-    long = df.withColumn("line", F.when(F.length("a") > F.length("b"), F.col("a")).otherwise(F.col("b"))).withColumn("probes", F.transform(probe_keys(), lambda x: x["key"]))
-    short = long.withColumn("line", F.when(F.length("a") > F.length("b"), F.col("b")).otherwise(F.col("a"))).withColumn("keys", segment_keys())
+    long = df.withColumn("line", F.when(F.length("a") > F.length("b"), F.col("a")).otherwise(F.col("b"))).withColumn("n", F.length("line")).withColumn("probes", F.transform(probe_keys(), lambda x: x["key"]))
+    short = long.withColumn("line", F.when(F.length("a") > F.length("b"), F.col("b")).otherwise(F.col("a"))).withColumn("n", F.length("line")).withColumn("keys", segment_keys())
     assert short.where(F.col("d") <= EDITS).where(~F.arrays_overlap("probes", "keys")).count() == 0
 
 

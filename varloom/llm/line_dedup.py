@@ -28,28 +28,36 @@ def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select("doc_id", "rid", "c.pos", "c.line", F.when(F.col("c.line").isNotNull(), F.xxhash64("c.line")).alias("id"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start from 1 and length of segment i of a line."""
-    base, late = (length / (edits + 1)).cast("int"), edits + 1 - F.pmod(length, F.lit(edits + 1))
-    return F.lit(1) + i * base + F.greatest(F.lit(0), i - late), base + F.when(late <= i, 1).otherwise(0)
+def _key(length: Column, i: Column, shift: Column, edits: int) -> tuple[Column, Column]:
+    """The hash of segment i of a line of that length, read shift characters later, and whether it lies within the line."""
+    late = edits + 1 - F.pmod(length, F.lit(edits + 1))
+    base = F.floor(length / (edits + 1)).cast("int")
+    start = F.lit(1) + i * base + F.greatest(F.lit(0), i - late) + shift
+    size = base + F.when(late <= i, 1).otherwise(0)
+    return F.xxhash64(i, length, F.substring(F.col("line"), start, size)), (start >= 1) & (start + size - 1 <= F.col("n"))
+
+
+def _places(places: list[tuple[int, int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in places])
 
 
 def segment_keys(edits: int = EDITS) -> Column:
-    """The keys that a line is indexed by."""
-    n = F.length("line")
-    return F.array(*[F.xxhash64(F.lit(i), n, F.substring(F.col("line"), *_segment(n, i, edits))) for i in range(edits + 1)])
+    """The keys that a line of n characters is indexed by."""
+    return F.transform(_places([(0, i, 0) for i in range(edits + 1)]), lambda p: _key(F.col("n"), p["i"], p["o"], edits)[0])
 
 
 def probe_keys(edits: int = EDITS) -> Column:
-    """(key, same length) of the substrings that can equal a segment of a line no longer than this one."""
-    n, out = F.length("line"), []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(n - less, i, edits)
-            for o in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                fits = (start + o >= 1) & (start + o + size - 1 <= n)
-                out.append(F.when(fits, F.struct(F.xxhash64(F.lit(i), n - less, F.substring(F.col("line"), start + o, size)).alias("key"), F.lit(less == 0).alias("same"))))
-    return F.array_compact(F.array(*out))
+    """(key, same length) of the substrings that can equal a segment of a line no longer than this one.
+
+    A loop over the places, not an expression for each: generated code of that size is never compiled.
+    """
+    places = [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
+
+    def one(p: Column) -> Column:
+        key, fits = _key(F.col("n") - p["d"], p["i"], p["o"], edits)
+        return F.when(fits, F.struct(key.alias("key"), (p["d"] == 0).alias("same")))
+
+    return F.array_compact(F.transform(_places(places), one))
 
 
 def banded_distance(left: Column, right: Column, edits: int = EDITS) -> Column:
@@ -92,7 +100,8 @@ def _banded(a: Column, b: Column, edits: int) -> Column:
         def zero(p: Column) -> Column:
             return p.bitwiseAND(s["vp"]).__add__(s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(p).bitwiseOR(s["vn"]).bitwiseAND(long(ones))
 
-        return let(let(pm, zero), rest)
+        # The value never falls along the diagonal and falls by 2 * edits at most along the last row.
+        return F.when(s["d"] > 3 * edits, s).otherwise(let(let(pm, zero), rest))
 
     first = state(long(ones ^ ((1 << edits) - 1)), long(0), F.lit(edits))
     return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), first, step, lambda s: s["d"])
@@ -106,8 +115,9 @@ def characters(text: Column) -> Column:
 def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b) of ids of different lines within the edits, each pair once."""
     distinct = lines.where(F.length("line") >= min_chars).groupBy("id").agg(F.min("line").alias("line"))
-    index = distinct.select(F.explode(segment_keys(edits)).alias("key"), F.col("id").alias("a"))
-    probe = distinct.select(F.explode(probe_keys(edits)).alias("x"), F.col("id").alias("b")).select("x.key", "x.same", "b")
+    sized = distinct.withColumn("n", F.length("line"))
+    index = sized.select(F.explode(segment_keys(edits)).alias("key"), F.col("id").alias("a"))
+    probe = sized.select(F.explode(probe_keys(edits)).alias("x"), F.col("id").alias("b")).select("x.key", "x.same", "b")
     met = index.join(probe, "key").where((F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
     text = lambda c: distinct.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
     pairs = met.join(text("a"), "a").join(text("b"), "b")
@@ -115,17 +125,17 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 
 def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """id, class (a line's id), links (other lines within the edits), rid and pos of the class's first line.
+    """id, class (a line's id), links (other lines within the edits), rid and pos of the class's first
+    line, of the lines that are met more than once or have links; any other line is its own class.
 
     First is by doc_id (null first), then text hash and position.
     """
     links = cut(edit_links(lines, edits, min_chars))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     labels = connected_components(links).withColumnsRenamed({"node": "id", "component": "class"}).join(degree, "id")
-    met = lines.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"))
-    named = met.join(labels, "id", "left").withColumn("class", F.coalesce("class", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
-    linked = named.where("links > 0")
-    heads = linked.groupBy("class").agg(F.min("first").alias("head"))
+    met = lines.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    named = met.join(labels, "id", "left").where("n > 1 or links > 0").withColumn("class", F.coalesce("class", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
+    heads = named.where("links > 0").groupBy("class").agg(F.min("first").alias("head"))
     every = named.join(heads, "class", "left").withColumn("head", F.coalesce("head", "first"))
     return every.select("id", "class", "links", F.col("head.rid").alias("head_rid"), F.col("head.pos").alias("head_pos"))
 
@@ -139,7 +149,8 @@ def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     lines = document_lines(docs, key, text)
     classes = line_classes(lines, edits, min_chars)
     told = lines.drop("line").join(classes, "id", "left")
-    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", "class", "links", ((F.col("rid") == F.col("head_rid")) & (F.col("pos") == F.col("head_pos"))).alias("kept")))
+    kept = F.col("head_rid").isNull() | ((F.col("rid") == F.col("head_rid")) & (F.col("pos") == F.col("head_pos")))
+    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), kept.alias("kept")))
     return told.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(cell)).alias("cells"))
 
 
