@@ -170,7 +170,7 @@ def hodges_lehmann(df: DataFrame, a: str, b: str, by: str, most: int = 1_000_000
     sets = df.groupBy(by).agg(F.collect_list(a).alias("_a"), F.collect_list(b).alias("_b"))
     med = lambda xs: F.aggregate(F.slice(F.array_sort(xs), F.floor((F.size(xs) + 1) / 2).cast("int"), F.when(F.size(xs) % 2 == 0, 2).otherwise(1)), F.lit(0.0), lambda s, x: s + x) / F.when(F.size(xs) % 2 == 0, 2).otherwise(1)
     pairs = F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: x - y)))
-    few = sets.withColumn("_p", F.when(F.size("_a") * F.size("_b") <= most, pairs))
+    few = sets.withColumn("_p", F.when(F.size("_a").cast("long") * F.size("_b") <= most, pairs))
     return few.select(by, F.when(F.col("_p").isNotNull(), med(F.col("_p"))).otherwise(med(F.col("_a")) - med(F.col("_b"))).alias("shift"))
 
 

@@ -378,6 +378,13 @@ def hodges_lehmann(spark, d):  # noqa: ANN001, ANN201
     return rounded(stats.hodges_lehmann(calls(spark, d).where("gq = 100 and variant_id % 10 = 0"), "null_score", "score", "chrom"))
 
 
+@query("""SELECT gene, round(CASE WHEN n * n > 1000000 THEN null_median - score_median ELSE shift END, 6) AS shift FROM (SELECT gene, count(*) AS n, median(null_score) AS null_median, median(score) AS score_median FROM calls GROUP BY gene)
+LEFT JOIN (SELECT a.gene, median(a.null_score - b.score) AS shift FROM calls a JOIN calls b ON a.gene = b.gene WHERE a.gene IN (SELECT gene FROM calls GROUP BY gene HAVING count(*) <= 1000) GROUP BY a.gene) USING (gene)""")
+def hodges_lehmann_genes(spark, d):  # noqa: ANN001, ANN201
+    """Every call of a gene; beyond 1,000,000 pairs the reference's difference of medians."""
+    return rounded(stats.hodges_lehmann(calls(spark, d), "null_score", "score", "gene"))
+
+
 @query("SELECT perm, sample_id, label FROM (SELECT perm, sample_id, row_number() OVER (PARTITION BY perm ORDER BY sample_id) AS r FROM samples, (SELECT unnest([0, 1]) AS perm)) JOIN (SELECT perm, label, row_number() OVER (PARTITION BY perm ORDER BY md5(seed || ':' || sample_id), sample_id) AS r FROM samples, (SELECT unnest([0, 1]) AS perm, unnest([42, 43]) AS seed)) USING (perm, r)")
 def label_permutation(spark, d):  # noqa: ANN001, ANN201
     return co.permute_labels(samples(spark, d), [42, 43])
