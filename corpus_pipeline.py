@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import decontaminate, language_id, line_dedup, sentencepiece_sampling, simhash_dedup
+from varloom.llm import decontaminate, language_id, line_dedup, near_dedup, sentencepiece_sampling
 from varloom.llm.common import cut, table
 
 #: (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents.
 STAGES = [
     ("language_id", language_id.stage),
     ("line_dedup", line_dedup.stage),
-    ("simhash_dedup", simhash_dedup.stage),
+    ("simhash_dedup", near_dedup.stage),
     ("decontaminate", decontaminate.stage),
     ("sentencepiece", sentencepiece_sampling.stage),
 ]
