@@ -6,6 +6,7 @@ reach THRESHOLD cannot be similar and are not fingerprinted; this bound is exact
 of the others meet those of the items in a multi-index: RADIUS + 1 blocks of bits, of which two
 fingerprints within the radius share one at least. Pairs within the radius are verified by the
 exact similarity of the shingles weighted by their multiplicity (sum of minima over sum of maxima).
+A text of fewer words than an item is one window, the whole of it, and is compared exactly.
 """
 
 from __future__ import annotations
@@ -67,9 +68,25 @@ def shared_weight(a: str, b: str) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, h: s + F.least(times(a, h), times(b, h)))
 
 
+def _short_texts(docs: DataFrame, index: DataFrame, ks: list[int], threshold: float) -> DataFrame:
+    """(doc_id, rid, item_id, similarity) at the threshold of texts and the longer items they may be most of."""
+    longest = index.agg(F.max("n")).first()[0]
+    short = docs.where((F.size("w") > 0) & (F.size("w") < longest)).dropDuplicates(["doc_id", "rid"]).withColumn("dn", F.size("w"))
+    counted = lambda df, *of: df.groupBy(*of).agg(F.count(F.lit(1)).alias("times"))
+    of_text = counted(reduce(DataFrame.union, [short.select("doc_id", "rid", "dn", F.lit(k).alias("k"), F.explode(grams("w", k)).alias("h")) for k in ks]), "doc_id", "rid", "dn", "k", "h")
+    kinds = index.select("item_id", F.xxhash64("its").alias("iid"), "n", "k", "its").dropDuplicates(["item_id", "iid"])
+    of_item = counted(kinds.select("item_id", "iid", "n", "k", F.explode("its").alias("h")), "item_id", "iid", "n", "k", "h").withColumnRenamed("times", "asked")
+    of_item = _held(of_item, of_item.count())
+    m, of = F.col("dn") - F.col("k") + 1, F.col("n") - F.col("k") + 1
+    met = of_text.join(of_item, ["k", "h"]).where((F.col("dn") < F.col("n")) & (m >= F.lit(threshold) * of - 1e-9))
+    pairs = met.groupBy("doc_id", "rid", "item_id", "iid", m.alias("m"), of.alias("of")).agg(F.sum(F.least("times", "asked")).alias("shared"))
+    return pairs.select("doc_id", "rid", "item_id", (F.col("shared") / (F.col("m") + F.col("of") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, windows): each pair of a document and an item with a window at
-    the threshold or above, the best similarity, and how many windows there are.
+    the threshold or above, the best similarity, and how many windows there are. A text shorter than
+    the item is its own window.
 
     Items of under SHINGLE words are one shingle; items and texts without words, null ones too,
     match nothing. Rows that repeat both id and text give one row; rows with a null id are matched,
@@ -104,6 +121,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     pairs = wide.join(blocks, ["k", "n", "block", "bits"]).where((F.bit_count(apart) <= RADIUS) & (_first_shared(apart) == F.col("block")))
     both = pairs.select("doc_id", "rid", "item_id", F.size("hs").alias("m"), shared_weight("hs", "its").alias("shared"))
     scored = both.select("doc_id", "rid", "item_id", (F.col("shared") / (F.lit(2) * F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    scored = scored.union(_short_texts(docs, index, ks, threshold))
     best = scored.groupBy("doc_id", "rid", "item_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("windows"))
     return best.select("doc_id", "item_id", "similarity", "windows")
 
