@@ -3,8 +3,9 @@
 Equal lines are one line first. A line of length l is cut into EDITS + 1 even segments; a line
 within EDITS edits of it holds one of them unchanged, near its place. Each line therefore probes,
 for each length down to EDITS less than its own, the few substrings that a segment can have moved
-to (the multi-match-aware selection), by the hash of segment number, length and substring. Pairs
-that meet are verified by banded bit-parallel edit distance, and their components are classes.
+to (the multi-match-aware selection), by the hash of segment number, length and substring. Where
+segments get too short to tell lines apart, lines meet by what EDITS deletions at most leave of them.
+Pairs that meet are verified by banded bit-parallel edit distance, and their components are classes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from varloom.llm.common import connected_components, cut, table
 
 #: Edits between lines of a class, and the length from which lines are joined by edits; shorter ones only where equal.
-EDITS, MIN_CHARS = 2, 24
+EDITS, MIN_CHARS = 2, 1
+#: Lines of fewer characters meet others by deletions, not by segments.
+SHORT = 12
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,6 +63,15 @@ def probe_keys(edits: int = EDITS) -> Column:
     return F.array_compact(F.transform(_places(places), one))
 
 
+def deletion_keys(edits: int = EDITS) -> Column:
+    """The hashes of what a line leaves after the edits in deletions or fewer; lines within the edits share one."""
+    without = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    levels = [F.array("line")]
+    for _ in range(edits):
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], without))))
+    return F.transform(F.array_distinct(F.concat(*levels)), lambda x: F.xxhash64(x))
+
+
 def banded_distance(left: Column, right: Column, edits: int = EDITS) -> Column:
     """Edit distance of two texts, right up to edits (and above edits where it is above), for
     lengths that differ by edits at most and reach 2 * edits + 1. The texts are split once, in a
@@ -116,12 +128,18 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     """(a, b) of ids of different lines within the edits, each pair once."""
     distinct = lines.where(F.length("line") >= min_chars).groupBy("id").agg(F.min("line").alias("line"))
     sized = distinct.withColumn("n", F.length("line"))
-    index = sized.select(F.explode(segment_keys(edits)).alias("key"), F.col("id").alias("a"))
-    probe = sized.select(F.explode(probe_keys(edits)).alias("x"), F.col("id").alias("b")).select("x.key", "x.same", "b")
-    met = index.join(probe, "key").where((F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    long, short = sized.where(F.col("n") >= SHORT), sized.where(F.col("n") < SHORT + edits)
+    index = long.select(F.explode(segment_keys(edits)).alias("key"), F.col("id").alias("a"))
+    probe = long.select(F.explode(probe_keys(edits)).alias("x"), F.col("id").alias("b")).select("x.key", "x.same", "b")
+    met = index.join(probe, "key").where((F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    left = cut(short.select(F.explode(deletion_keys(edits)).alias("key"), F.col("id").alias("a")))
+    close = left.join(left.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
+    # A pair that meets in both ways may do so in both orders.
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(close).distinct()
     text = lambda c: distinct.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
     pairs = met.join(text("a"), "a").join(text("b"), "b")
-    return pairs.where(banded_distance(F.col("a_line"), F.col("b_line"), edits) <= edits).where(F.levenshtein("a_line", "b_line", edits) >= 0).select("a", "b")
+    tiny = F.least(F.length("a_line"), F.length("b_line")) < 2 * edits + 1
+    return pairs.where(F.when(tiny, True).otherwise(banded_distance(F.col("a_line"), F.col("b_line"), edits) <= edits)).where(F.levenshtein("a_line", "b_line", edits) >= 0).select("a", "b")
 
 
 def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -160,15 +178,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("doc_id", F.size("cells").cast("long").alias("n_lines"), F.size(F.filter("cells", lambda c: ~c["kept"])).cast("long").alias("n_dropped"), F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["links"]).alias("n_links"), F.transform("cells", lambda c: c["class"]).alias("class_ids"))
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """The documents without their repeated lines, n_chars set anew where there is such a column.
 
-    A document all of whose lines are repeats is left as it is: whether a whole document goes is
-    for document dedup to say.
+    A document all of whose lines are repeats goes where whole is set, and is left as it is where not.
     """
     cells = judge_lines(docs, key, text)
-    gone = cells.select("rid", F.transform(F.filter("cells", lambda c: ~c["kept"]), lambda c: c["pos"]).alias("gone"), F.size("cells").alias("n")).where((F.size("gone") > 0) & (F.size("gone") < F.col("n"))).select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"))
-    rows = docs.withColumn("_rid0", F.xxhash64(key, text)).join(gone, F.col("_rid0") == F.col("_rid"), "left")
+    gone = cells.select("rid", F.transform(F.filter("cells", lambda c: ~c["kept"]), lambda c: c["pos"]).alias("gone"), F.size("cells").alias("n")).where((F.size("gone") > 0) & (F.lit(whole) | (F.size("gone") < F.col("n")))).select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"), (F.size("gone") == F.col("n")).alias("_all"))
+    rows = docs.withColumn("_rid0", F.xxhash64(key, text)).join(gone, F.col("_rid0") == F.col("_rid"), "left").where(~F.coalesce("_all", F.lit(False)))
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(F.col("_parts"), i)), "\n")
     rows = rows.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts)).withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text)))
@@ -178,7 +195,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeats(docs)
+    return drop_repeats(docs, whole=True)
 
 
 SQL: dict[str, str] = {}
