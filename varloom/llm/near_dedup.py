@@ -4,7 +4,9 @@ Texts at THRESHOLD or more in the Jaccard similarity of their shingles of WORDS
 components become groups; no such pair is missed. Under one order of all shingles, two texts of that
 similarity share a shingle among the first n - ceil(THRESHOLD * n) + 1 of each (the prefix). Texts that
 share such a key are first compared with the smallest of them, then with those that this left in
-other components, so a large group of near copies does not give all its pairs. Every link is verified.
+other components, so a large group of near copies does not give all its pairs. Of two texts that share
+c keys no more than the longer rest behind the prefixes can be common besides; pairs that cannot reach
+the threshold with that are not verified. Every link is verified.
 SimHash within a radius of 21 bits reaches the same pairs only by blocks of three bits, which almost
 all pairs of a corpus share.
 """
@@ -90,8 +92,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     buckets = cut(held.where(F.size("of") > 1).withColumn("of", F.array_sort("of")))
     first = rows.groupBy("sid").agg(F.min("doc_id").alias("own"), F.min("tid").alias("tid"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
+    def verified(met: DataFrame) -> DataFrame:
+        """Links among (a, b, an, bn) rows, one for each key that both share."""
+        rest = F.ceil(F.lit(threshold) * F.greatest("an", "bn") - 1e-9) - 1
+        enough = F.col("c") + rest >= F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-9
+        pairs = cut(met.groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("c")).where(enough).select("a", "b"))
         asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first.select("sid", "tid"), "sid")
         held = texts.select("tid", "text").join(asked, "tid").dropDuplicates(["sid"]).select("sid", "text")
         sets = cut(held.mapInArrow(_sets(size), "sid long, g array<long>"))
@@ -101,13 +106,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     head = F.get("of", F.lit(0))
     stars = buckets.select(head.alias("x"), F.explode(F.slice("of", 2, F.size("of"))).alias("y"))
-    links = verified(stars.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+    links = verified(stars.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn")))
     near = connected_components(links).withColumnsRenamed({"node": "sid", "component": "c"})
     told = buckets.select("key", F.explode("of").alias("x")).select("key", "x.sid", "x.n").join(near, "sid", "left").withColumn("c", F.coalesce("c", "sid"))
-    mixed = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high and m > 2").select("key")
+    mixed = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = cut(told.join(mixed, "key"))
     a, b = left.withColumnsRenamed({"sid": "a", "n": "an", "c": "ac"}), left.withColumnsRenamed({"sid": "b", "n": "bn", "c": "bc"})
-    rest = a.join(b, "key").where((F.col("ac") < F.col("bc")) & fits(F.col("an"), F.col("bn"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = a.join(b, "key").where((F.col("ac") < F.col("bc")) & fits(F.col("an"), F.col("bn"))).select("a", "b", "an", "bn")
     labels = connected_components(links.union(verified(rest)))
     named = first.join(labels.withColumnRenamed("node", "sid"), "sid")
     low = named.groupBy("component").agg(F.min("own").alias("low"))
