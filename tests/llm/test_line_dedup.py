@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from varloom.llm.line_dedup import EDITS, MIN_CHARS, banded_distance, drop_repeats, op1_line_dedup, probe_keys, segment_keys
+from varloom.llm import line_dedup
+from varloom.llm.line_dedup import EDITS, MIN_CHARS, banded_distance, drop_repeats, op1_line_dedup, signature, stage, with_keys
 
 
 def distance(a, b):
@@ -33,9 +34,31 @@ def test_banded_distance_and_segments(spark):
     df = spark.createDataFrame(rows, "a string, b string, d int")
     for r in df.select("d", banded_distance(F.col("a"), F.col("b")).alias("got")).collect():
         assert r.got == r.d if r.d <= EDITS else r.got > EDITS
-    long = df.withColumn("line", F.when(F.length("a") > F.length("b"), F.col("a")).otherwise(F.col("b"))).withColumn("n", F.length("line")).withColumn("probes", F.transform(probe_keys(), lambda x: x["key"]))
-    short = long.withColumn("line", F.when(F.length("a") > F.length("b"), F.col("b")).otherwise(F.col("a"))).withColumn("n", F.length("line")).withColumn("keys", segment_keys())
-    assert short.where(F.col("d") <= EDITS).where(~F.arrays_overlap("probes", "keys")).count() == 0
+    rows = []
+    for i in range(500):
+        a = "".join(rng.choices("abé🙂 e", k=rng.choice([12, 13, 15, 16, 30, 63, 64, 65, 66, 127, 128, 129, 130, 257])))
+        b = mutate(rng, a, rng.randrange(EDITS + 1))
+        rows.append((i, *sorted((a, b), key=len)))
+    df = spark.createDataFrame(rows, "i int, a string, b string").where(F.length("a") >= line_dedup.SHORT)
+    side = lambda c: with_keys(df.select("i", F.col(c).alias("line"), F.length(c).alias("n")))
+    met = side("a").where("kept").join(side("b").drop("kept", "line", "n"), ["i", "key"]).select("i").distinct()
+    assert met.count() == df.count() > 400
+    assert df.where(F.bit_count(signature(F.col("a")).bitwiseXOR(signature(F.col("b")))) > 2 * EDITS).count() == 0
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """A group of lines that share most of their text: the same links with and without hot keys."""
+    rng = random.Random(3)
+    base = "a line of several words that many others share with it, up to one of them or two".split()
+    lines = {" ".join(base[:i] + [rng.choice(["word", "other", "yet", "w"])] + base[i + 1 :]) for i in range(len(base)) for _ in range(6)}
+    df = line_dedup.document_lines(spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string"))
+    got = []
+    for sample, hot in ((1, 2), (16, 10**9)):
+        monkeypatch.setattr(line_dedup, "SAMPLE", sample)
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got.append(sorted(map(repr, line_dedup.edit_links(df).collect())))
+    want = sum(distance(a, b) <= EDITS for a in lines for b in lines if a < b)
+    assert got[0] == got[1] and len(got[0]) == want > 0
 
 
 def slow(docs):
@@ -106,3 +129,14 @@ def test_stage_keeps_first_lines_and_whole_repeats(spark):
     want = [(1, f"{a}\n{b}\n", "x", len(f"{a}\n{b}\n")), (2, c, "y", len(c)), (3, f"{a}\n{b}", "z", 7), (4, None, None, None), (None, "Es.", "q", 3), (2, c, "y", len(c))]
     assert got == sorted(map(repr, want))
     assert drop_repeats(df.limit(0)).count() == 0
+
+
+def test_stage_with_clashing_names_and_repeated_ids(spark):
+    names = "doc_id text row at hash rid gone n parts left cells id _class _k key kept line pos".split()
+    a, b = "The first line of all of them", "A third one that differs a lot"
+    docs = [(1, a, *range(16)), (1, f"{b}\n{a}", *range(16, 32)), (1, a, *range(32, 48))]
+    df = spark.createDataFrame(docs, ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
+    got = sorted(map(tuple, stage(spark, df, "").collect()))
+    first = min((1, t) for _, t, *_ in docs)
+    assert df.columns == stage(spark, df, "").columns
+    assert sorted(x[1:] for x in got) in (sorted([docs[0][1:], (b, *docs[1][2:]), docs[2][1:]]), sorted([docs[1][1:]])) and first

@@ -1,11 +1,13 @@
 """Line dedup by a segment-partition edit join (operator 1), with DataFrame functions alone.
 
-Equal lines are one line first. A line of length l is cut into EDITS + 1 even segments; a line
-within EDITS edits of it holds one of them unchanged, near its place. Each line therefore probes,
-for each length down to EDITS less than its own, the few substrings that a segment can have moved
-to (the multi-match-aware selection), by the hash of segment number, length and substring. Where
+Equal lines are one line first. A line is cut into EDITS + 1 parts; a line within EDITS edits of it
+holds one of them unchanged, near its place (the multi-match-aware bounds). The start of each part is
+its segment. Segments are sized and placed by the class of the line's length, so that a line probes
+the same few substrings for all lengths down to EDITS less than its own, by the hash of part, class
+and substring. Keys that many lines of a sample share are hot: there the lines go along with their
+keys, and pairs are rejected inside the join, by letter counts and then by edit distance. Where
 segments get too short to tell lines apart, lines meet by what EDITS deletions at most leave of them.
-Pairs that meet are verified by banded bit-parallel edit distance, and their components are classes.
+What is left is verified by banded bit-parallel edit distance, and components of links are classes.
 """
 
 from __future__ import annotations
@@ -13,12 +15,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import connected_components, cut, table
+from varloom.llm.common import connected_components, cut, drop_cut, table
 
 #: Edits between lines of a class, and the length from which lines are joined by edits; shorter ones only where equal.
 EDITS, MIN_CHARS = 2, 1
 #: Lines of fewer characters meet others by deletions, not by segments.
 SHORT = 12
+#: One in SAMPLE lines tells which keys are hot: those that HOT of them share. Either way is exact.
+SAMPLE, HOT = 16, 4
+#: Tables of ids and keys are broadcast up to this many rows, and joined beyond.
+BROADCAST_ROWS = 100_000
+#: Characters that a signature counts, modulo 4 and in Gray code: 31 at most.
+COUNTED = "etaoinsrhldcumfpgwybvkxjqz .,01"
+
+
+def line_id(line: Column) -> Column:
+    """128 bits, as a struct of two longs."""
+    return F.struct(F.xxhash64(line).alias("hi"), F.xxhash64(F.lit(1), line).alias("lo"))
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,39 +41,42 @@ def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     cells = F.filter(F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\r")).alias("line"))), lambda c: c["line"] != "")
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("rid"), F.explode_outer(cells).alias("c"))
-    return rows.select("doc_id", "rid", "c.pos", "c.line", F.when(F.col("c.line").isNotNull(), F.xxhash64("c.line")).alias("id"))
-
+    return rows.select("doc_id", "rid", "c.pos", "c.line", F.when(F.col("c.line").isNotNull(), line_id(F.col("c.line"))).alias("id"))
 
-def _key(length: Column, i: Column, shift: Column, edits: int) -> tuple[Column, Column]:
-    """The hash of segment i of a line of that length, read shift characters later, and whether it lies within the line."""
-    late = edits + 1 - F.pmod(length, F.lit(edits + 1))
-    base = F.floor(length / (edits + 1)).cast("int")
-    start = F.lit(1) + i * base + F.greatest(F.lit(0), i - late) + shift
-    size = base + F.when(late <= i, 1).otherwise(0)
-    return F.xxhash64(i, length, F.substring(F.col("line"), start, size)), (start >= 1) & (start + size - 1 <= F.col("n"))
 
+def length_class(n: Column) -> Column:
+    """Lengths from a value on, a step of a sixteenth to an eighth of them wide (4 at least)."""
+    step = F.greatest(F.lit(4.0), F.pow(F.lit(2.0), F.floor(F.log2(n)) - 3)).cast("int")
+    return n - F.pmod(n, step)
 
-def _places(places: list[tuple[int, int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in places])
 
+def segment_keys(c: Column, edits: int = EDITS) -> Column:
+    """array<struct<key, kept>>: the keys under class c of column line of n characters. kept ones, of
+    the line's own class, are those that it is met by; the others only probe."""
+    size = F.floor(c / (edits + 1)).cast("int")
+    out = []
+    for i in range(edits + 1):
+        at = F.col("n") - size if i == edits else F.floor((c - size) * i / edits).cast("int")
+        for shift in [0] if i == edits else range(-min(i, edits - i), i + 1):
+            key = F.xxhash64(F.lit(i), c, F.substring(F.col("line"), at + shift + 1, size))
+            out.append(F.struct(key.alias("key"), (F.lit(shift == 0) & (c == length_class(F.col("n")))).alias("kept")))
+    return F.array(*out)
 
-def segment_keys(edits: int = EDITS) -> Column:
-    """The keys that a line of n characters is indexed by."""
-    return F.transform(_places([(0, i, 0) for i in range(edits + 1)]), lambda p: _key(F.col("n"), p["i"], p["o"], edits)[0])
 
+def with_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Adds key and kept to rows of line and n: a row for each key that a line of its length has."""
+    classes = F.array_distinct(F.array(*[length_class(F.col("n") - d) for d in range(edits + 1)]))
+    rows = lines.select("*", F.explode(classes).alias("_class"))
+    return rows.select("*", F.explode(segment_keys(F.col("_class"), edits)).alias("_k")).select(*lines.columns, "_k.key", "_k.kept")
 
-def probe_keys(edits: int = EDITS) -> Column:
-    """(key, same length) of the substrings that can equal a segment of a line no longer than this one.
-
-    A loop over the places, not an expression for each: generated code of that size is never compiled.
-    """
-    places = [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
-    def one(p: Column) -> Column:
-        key, fits = _key(F.col("n") - p["d"], p["i"], p["o"], edits)
-        return F.when(fits, F.struct(key.alias("key"), (p["d"] == 0).alias("same")))
-
-    return F.array_compact(F.transform(_places(places), one))
+def signature(line: Column) -> Column:
+    """Two bits for each of the COUNTED characters. An edit changes two counts by one at most, so
+    signatures of lines within the edits differ in 2 * edits bits at most."""
+    marks = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(2 * i).alias("at")) for i, c in enumerate(COUNTED)])
+    count = lambda x: F.pmod(F.octet_length(line) - F.octet_length(F.replace(line, x["c"], F.lit(""))), F.lit(4))
+    gray = lambda n: n.bitwiseXOR(F.shiftright(n, 1)).cast("long")
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", gray(count(x)), x["at"])))
 
 
 def deletion_keys(edits: int = EDITS) -> Column:
@@ -124,77 +140,120 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, "", -1), lambda c: c != "")
 
 
-def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b) of ids of different lines within the edits, each pair once."""
-    distinct = lines.where(F.length("line") >= min_chars).groupBy("id").agg(F.min("line").alias("line"))
-    sized = distinct.withColumn("n", F.length("line"))
-    long, short = sized.where(F.col("n") >= SHORT), sized.where(F.col("n") < SHORT + edits)
-    index = long.select(F.explode(segment_keys(edits)).alias("key"), F.col("id").alias("a"))
-    probe = long.select(F.explode(probe_keys(edits)).alias("x"), F.col("id").alias("b")).select("x.key", "x.same", "b")
-    met = index.join(probe, "key").where((F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
-    left = cut(short.select(F.explode(deletion_keys(edits)).alias("key"), F.col("id").alias("a")))
-    close = left.join(left.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
-    # A pair that meets in both ways may do so in both orders.
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(close).distinct()
-    text = lambda c: distinct.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
-    pairs = met.join(text("a"), "a").join(text("b"), "b")
-    tiny = F.least(F.length("a_line"), F.length("b_line")) < 2 * edits + 1
-    return pairs.where(F.when(tiny, True).otherwise(banded_distance(F.col("a_line"), F.col("b_line"), edits) <= edits)).where(F.levenshtein("a_line", "b_line", edits) >= 0).select("a", "b")
-
-
-def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """id, class (a line's id), links (other lines within the edits), rid and pos of the class's first
-    line, of the lines that are met more than once or have links; any other line is its own class.
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _line_cells(lines: DataFrame, edits: int) -> DataFrame:
+    """The lines without their texts, but for short and sampled ones."""
+    some = (F.length("line") < SHORT + edits) | (F.pmod(F.col("id.lo"), F.lit(SAMPLE)) == 0)
+    return lines.withColumn("line", F.when(some, F.col("line")))
+
+
+def _close(a: Column, b: Column, edits: int) -> Column:
+    """Within the edits: the built-in distance rejects, the banded one decides on what is left."""
+    tiny = F.least(F.length(a), F.length(b)) < 2 * edits + 1
+    return (F.levenshtein(a, b, edits) >= 0) & F.when(tiny, True).otherwise(banded_distance(a, b, edits) <= edits)
+
+
+def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, cells: DataFrame | None = None) -> DataFrame:
+    """(a, b) of ids of different lines within the edits, each pair once. cells: _line_cells(), written."""
+    cells = cut(_line_cells(lines, edits)) if cells is None else cells
+    some = cells.where(F.length("line") >= min_chars).select("line").distinct().withColumn("n", F.length("line"))
+    sampled = with_keys(some.where((F.col("n") >= SHORT) & (F.pmod(line_id(F.col("line"))["lo"], F.lit(SAMPLE)) == 0)), edits)
+    hot = cut(sampled.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") >= HOT))
+
+    distinct = lines.where(F.length("line") >= max(SHORT, min_chars)).select("line").distinct().withColumn("n", F.length("line"))
+    keyed = with_keys(distinct.select("line", "n", F.xxhash64("line").alias("id")), edits).join(_small(hot), "key", "left")
+    text = F.when(F.col("hot").isNotNull(), F.col("line"))
+    rows = keyed.select("key", "id", "n", "kept", text.alias("line"), F.when(F.col("hot").isNotNull(), signature(F.col("line"))).alias("sig")).repartition("key")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "kept", "line", "sig")]) for s in "ab")
+    # A row is met by its kept keys alone; the test names both sides, so that both read one exchange.
+    longer = F.col("n_b") - F.col("n_a")
+    fits = F.when(F.col("kept_a"), longer.between(0, edits) & ((longer > 0) | (F.col("id_a") < F.col("id_b")))).otherwise(F.col("n_b") < 0)
+    alike = (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * edits) & (F.levenshtein("line_a", "line_b", edits) >= 0)
+    met = a.join(b, "key").where(fits & F.when(F.col("sig_a").isNull(), True).otherwise(alike))
+    met = cut(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+
+    asked = cut(met.select(F.explode(F.array("a", "b")).alias("hi")).distinct())
+    texts = lines.where("id is not null").select("id", "id.hi", "line").join(_small(asked), "hi").distinct()
+    side = lambda c: texts.select(F.col("hi").alias(c), F.col("id").alias(f"{c}_id"), F.col("line").alias(f"{c}_line"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b").where((F.col("a_id") != F.col("b_id")) & _close(F.col("a_line"), F.col("b_line"), edits)).select("a_id", "b_id")
+
+    short = cut(some.where(F.col("n") < SHORT + edits).select("line", F.explode(deletion_keys(edits)).alias("key")))
+    one, other = short.withColumnRenamed("line", "a_line"), short.withColumnRenamed("line", "b_line")
+    near = one.join(other, "key").where("a_line < b_line").select("a_line", "b_line").distinct().where(_close(F.col("a_line"), F.col("b_line"), edits))
+    every = pairs.union(near.select(line_id(F.col("a_line")), line_id(F.col("b_line"))))
+    links = cut(every.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct())
+    for done in (hot, met, asked, short):
+        drop_cut(done)
+    return links
+
+
+def line_classes(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """id, class (a line's id), links (other lines within the edits), head_doc, head_rid and head_pos of
+    the class's first line, of the lines that are met more than once or have links; any other line is
+    its own class.
 
     First is by doc_id (null first), then text hash and position.
     """
-    links = cut(edit_links(lines, edits, min_chars))
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     labels = connected_components(links).withColumnsRenamed({"node": "id", "component": "class"}).join(degree, "id")
-    met = lines.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    met = cells.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     named = met.join(labels, "id", "left").where("n > 1 or links > 0").withColumn("class", F.coalesce("class", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
     heads = named.where("links > 0").groupBy("class").agg(F.min("first").alias("head"))
     every = named.join(heads, "class", "left").withColumn("head", F.coalesce("head", "first"))
-    return every.select("id", "class", "links", F.col("head.rid").alias("head_rid"), F.col("head.pos").alias("head_pos"))
+    return every.select("id", "class", "links", F.col("head.doc_id").alias("head_doc"), F.col("head.rid").alias("head_rid"), F.col("head.pos").alias("head_pos"))
 
 
 def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, rid, cells (pos, class, links, kept) in order of pos, for each distinct (doc_id, text).
 
     A line is kept where it is the first of its class. Null, empty and blank texts have no cells;
-    rows that repeat id and text are one document. Other columns are ignored.
+    rows that repeat id and text are one document. Other columns are ignored. No rows: no rows.
     """
     lines = document_lines(docs, key, text)
-    classes = line_classes(lines, edits, min_chars)
-    told = lines.drop("line").join(classes, "id", "left")
-    kept = F.col("head_rid").isNull() | ((F.col("rid") == F.col("head_rid")) & (F.col("pos") == F.col("head_pos")))
+    cells = cut(_line_cells(lines, edits))
+    classes = line_classes(cells, edit_links(lines, edits, min_chars, cells))
+    told = cells.drop("line").join(classes, "id", "left")
+    kept = F.col("head_rid").isNull() | (F.col("doc_id").eqNullSafe(F.col("head_doc")) & (F.col("rid") == F.col("head_rid")) & (F.col("pos") == F.col("head_pos")))
     cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), kept.alias("kept")))
     return told.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(cell)).alias("cells"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document: its lines, those dropped, the links of its lines, and the class of each line."""
+    """A row a document (of id and text): its lines, those dropped, the links of its lines, and the
+    class of each line, as 32 hex digits. Null, empty and blank texts have no lines; ties go to the
+    smaller doc_id; repeated rows are one; an empty table gives no rows."""
     cells = judge_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cells.select("doc_id", F.size("cells").cast("long").alias("n_lines"), F.size(F.filter("cells", lambda c: ~c["kept"])).cast("long").alias("n_dropped"), F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["links"]).alias("n_links"), F.transform("cells", lambda c: c["class"]).alias("class_ids"))
+    digits = lambda x: F.lower(F.concat(F.lpad(F.hex(x["hi"]), 16, "0"), F.lpad(F.hex(x["lo"]), 16, "0")))
+    return cells.select("doc_id", F.size("cells").cast("long").alias("n_lines"), F.size(F.filter("cells", lambda c: ~c["kept"])).cast("long").alias("n_dropped"), F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["links"]).alias("n_links"), F.transform("cells", lambda c: digits(c["class"])).alias("class_ids"))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """The documents without their repeated lines, n_chars set anew where there is such a column.
 
     A document all of whose lines are repeats goes where whole is set, and is left as it is where not.
+    Other columns stay as they are, whatever their names.
     """
     cells = judge_lines(docs, key, text)
-    gone = cells.select("rid", F.transform(F.filter("cells", lambda c: ~c["kept"]), lambda c: c["pos"]).alias("gone"), F.size("cells").alias("n")).where((F.size("gone") > 0) & (F.lit(whole) | (F.size("gone") < F.col("n")))).select(F.col("rid").alias("_rid"), F.col("gone").alias("_gone"), (F.size("gone") == F.col("n")).alias("_all"))
-    rows = docs.withColumn("_rid0", F.xxhash64(key, text)).join(gone, F.col("_rid0") == F.col("_rid"), "left").where(~F.coalesce("_all", F.lit(False)))
-    parts = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(F.col("_parts"), i)), "\n")
-    rows = rows.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts)).withColumn(text, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    gone = cells.select("doc_id", "rid", F.transform(F.filter("cells", lambda c: ~c["kept"]), lambda c: c["pos"]).alias("gone"), F.size("cells").alias("n")).where((F.size("gone") > 0) & (F.lit(whole) | (F.size("gone") < F.col("n"))))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("at"), F.col(text).alias("text"), F.xxhash64(key, text).alias("hash"))
+    rows = rows.join(gone, (F.col("hash") == F.col("rid")) & F.col("at").eqNullSafe(F.col("doc_id")), "left").where("gone is null or size(gone) < n")
+    parts = F.split(F.col("text"), "\n", -1)
+    rows = rows.withColumn("parts", F.when(F.col("gone").isNotNull(), parts))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get(F.col("parts"), i)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    fields[text] = F.when(F.col("gone").isNotNull(), F.col("left")).otherwise(fields[text])
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("gone").isNotNull(), F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in fields.items()])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from every document, and with them the documents that hold nothing else.
+    Documents without lines (null, empty and blank texts) stay as they are, and so do repeated rows."""
     return drop_repeats(docs, whole=True)
 
 
