@@ -166,11 +166,11 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     distinct = lines.where(F.length("line") >= max(SHORT, min_chars)).select("line").distinct().withColumn("n", F.length("line"))
     keyed = with_keys(distinct.select("line", "n", F.xxhash64("line").alias("id")), edits).join(_small(hot), "key", "left")
     text = F.when(F.col("hot").isNotNull(), F.col("line"))
-    rows = keyed.select("key", "id", "n", "kept", text.alias("line"), F.when(F.col("hot").isNotNull(), signature(F.col("line"))).alias("sig")).repartition("key")
+    rows = keyed.select("key", "id", "n", "kept", text.alias("line"), F.when(F.col("hot").isNotNull(), signature(F.col("line"))).alias("sig"))
     a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "kept", "line", "sig")]) for s in "ab")
     # A row is met by its kept keys alone; the test names both sides, so that both read one exchange.
     longer = F.col("n_b") - F.col("n_a")
-    fits = F.when(F.col("kept_a"), longer.between(0, edits) & ((longer > 0) | (F.col("id_a") < F.col("id_b")))).otherwise(F.col("n_b") < 0)
+    fits = F.when(F.col("kept_a"), longer.between(0, edits) & ((longer > 0) | (F.col("id_a") < F.col("id_b")))).otherwise(F.col("kept_b") & (F.col("n_b") < 0))
     alike = (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * edits) & (F.levenshtein("line_a", "line_b", edits) >= 0)
     met = a.join(b, "key").where(fits & F.when(F.col("sig_a").isNull(), True).otherwise(alike))
     met = cut(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
