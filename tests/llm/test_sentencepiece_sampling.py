@@ -3,10 +3,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import varloom.llm.sentencepiece_sampling as sps
-from varloom.llm.sentencepiece_sampling import Pieces, decode_ids, encode_samples, op7_sentencepiece
+from varloom.llm.sentencepiece_sampling import Lattices, Pieces, decode_ids, encode_samples, op7_sentencepiece
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def pieces():
 
 def every(pieces, unit):
     """All segmentations of a unit with their probabilities, by plain recursion."""
-    arcs = pieces.long_lattice(unit)[0]
+    arcs = pieces.lattice(unit)[0]
 
     def go(i):
         if i == len(unit):
@@ -32,22 +33,24 @@ def every(pieces, unit):
 
 
 def test_both_lattices_agree(pieces):
-    for unit in ("▁hello", "héé漢", "\udc81x", "\n", "▁▁▁a"):
-        a, b = pieces.lattice(unit), pieces.long_lattice(unit)
-        assert np.allclose(np.log(a[1]), b[1]) and [x[2] for x in a[3]] == [x[2] for x in b[3]]
+    units = ["▁hello", "héé漢", "\udc81x", "\n", "▁▁▁a", "▁hello", "\ue000", "x" * 300]
+    both = Lattices(pieces, units)
+    for i, unit in enumerate(units):
+        arcs, mass = pieces.lattice(unit)
+        node = both.root[i]
+        assert math.isclose(both.mass[node], mass[0], rel_tol=1e-12)
+        fan = slice(both.at[node], both.at[node] + len(arcs[0]))
+        assert np.allclose(sorted(both.log_p[fan]), sorted(a[0] for a in arcs[0])) and both.upto[fan][-1] == 1 << sps.BITS
 
 
-@pytest.mark.parametrize("short", [24, 0])
-def test_samples_follow_the_distribution_without_replacement(pieces, monkeypatch, short):
-    monkeypatch.setattr(sps, "SHORT", short)
-    pieces.best, pieces.segs, pieces.q = {}, [], []
+def test_samples_follow_the_distribution_without_replacement(pieces):
     text = "ab on"
     units = [every(pieces, "▁ab"), every(pieces, "▁on")]
     want = {s + t: p * q for s, p in units[0].items() for t, q in units[1].items()}
     n, first, second = 6000, Counter(), Counter()
     inclusion = Counter()
     for seed in range(n):
-        got = pieces.sample(text, np.random.default_rng(seed))
+        got = pieces.sample(text, xxhash.xxh64_intdigest(str(seed)))
         keys = [tuple(g[0]) for g in got]
         assert len(set(keys)) == 2
         for key, (_, lp, inc) in zip(keys, got, strict=True):
@@ -65,7 +68,7 @@ def test_samples_follow_the_distribution_without_replacement(pieces, monkeypatch
 
 def test_all_segmentations_are_found_in_order_of_search(pieces):
     want = every(pieces, "▁abc")
-    got = pieces.sample("abc", np.random.default_rng(1), k=10_000)
+    got = pieces.sample("abc", 1, k=10_000)
     found = Counter(tuple(g[0]) for g in got)
     assert max(found.values()) == 1 and {s for s, p in want.items() if p > 1e-9} <= set(found) <= set(want)
     assert all(g[2] == 1.0 for g in got)
@@ -74,11 +77,16 @@ def test_all_segmentations_are_found_in_order_of_search(pieces):
 TEXTS = [None, "", " ", "a  b\n\n c ", "▁literal ▁ and é漢字 🙂", "x" * 400, "word " * 30_000, "\x00\t ", "</s> <s><0x0A>"]
 
 
-def test_round_trip(pieces):
-    for i, t in enumerate(TEXTS):
-        got = pieces.sample(t or "", np.random.default_rng(i), 3)
-        assert all(pieces.decode(g[0]) == t for g in got)
-        assert len({tuple(g[0]) for g in got}) == len(got)
+def test_round_trip_and_grouping(pieces):
+    texts = [t or "" for t in TEXTS]
+    for k in (2, 3):
+        together = pieces.sample_texts(texts * 2, list(range(len(texts))) * 2, k)
+        for i, t in enumerate(texts):
+            got = pieces.sample(t, i, k)
+            assert all(pieces.decode(g[0].tolist()) == t for g in got)
+            assert len({tuple(g[0]) for g in got}) == len(got)
+            for other in (together[i], together[i + len(texts)]):
+                assert [(*g[0], *g[1:]) for g in got] == [(*g[0], *g[1:]) for g in other]
 
 
 def test_table(spark, tmp_path):
