@@ -84,7 +84,12 @@ def _short_texts(docs: DataFrame, index: DataFrame, ks: list[int], threshold: fl
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, similarity, windows): each pair of a document and an item with a window at
+    """_leaks() without the rows' hashes."""
+    return _leaks(docs, items, key, text, item, threshold).drop("rid")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, rid, item_id, similarity, windows): each pair of a document and an item with a window at
     the threshold or above, the best similarity, and how many windows there are. A text shorter than
     the item is its own window.
 
@@ -101,7 +106,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     known = index.select("k", "n", F.explode("its").alias("h")).groupBy("k", "h").agg(F.collect_set("n").alias("ns"))
     known = _held(known, known.count())
     if not ks:
-        return docs.select("doc_id", F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("windows")).where("false")
+        return docs.select("doc_id", "rid", F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("windows")).where("false")
     hits = reduce(DataFrame.union, [docs.select("doc_id", "rid", F.lit(k).alias("k"), F.posexplode(grams("w", k)).alias("pos", "h")).join(known, ["k", "h"]).select("doc_id", "rid", "k", F.explode("ns").alias("n"), "pos") for k in ks])
     spots = hits.groupBy("doc_id", "rid", "k", "n").agg(F.array_sort(F.collect_set("pos")).alias("ps")).withColumn("m", F.col("n") - F.col("k") + 1).withColumn("need", least(F.col("m")).cast("int"))
     low = lambda p, i: F.greatest(F.lit(0), F.get("ps", i + F.col("need") - 1) - F.col("m") + 1, F.when(i > 0, F.get("ps", i - 1) + 1).otherwise(0))  # noqa: E731  the first start whose first hit is p
@@ -123,7 +128,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     scored = both.select("doc_id", "rid", "item_id", (F.col("shared") / (F.lit(2) * F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     scored = scored.union(_short_texts(docs, index, ks, threshold))
     best = scored.groupBy("doc_id", "rid", "item_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("windows"))
-    return best.select("doc_id", "item_id", "similarity", "windows")
+    return best.select("doc_id", "rid", "item_id", "similarity", "windows")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +136,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a leak go."""
-    gone = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select(*docs.columns)
+    """Rows with a leak go, by id and text: a clean row that shares its id with a leaked one stays.
+    Null and empty texts stay; with an empty benchmark all do."""
+    gone = cut(_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "rid").distinct())
+    gone = _held(gone, gone.limit(BROADCAST_ROWS + 1).count())
+    here = (F.xxhash64(docs["doc_id"], docs["text"]) == gone["rid"]) & docs["doc_id"].eqNullSafe(gone["doc_id"])
+    return docs.join(gone, here, "left_anti")
 
 
 SQL: dict[str, str] = {}

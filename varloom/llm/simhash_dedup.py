@@ -198,15 +198,9 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_groups() of all documents: a row for every row; nulls, ties and repeats as there."""
     return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the rows of the smallest doc_id stay; rows without a doc_id stay."""
-    groups = simhash_groups(docs)
-    gone = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 SQL: dict[str, str] = {}
 QUERIES = {"op10_simhash_dedup": op10_simhash_dedup}
