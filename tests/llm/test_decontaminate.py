@@ -84,3 +84,19 @@ def test_blocks_cover_the_word_and_pairs_meet_once(spark):
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs, items).count() == 1
+
+
+def test_recall_at_the_threshold(spark):
+    """Windows at 0.80 to 0.84, right above the threshold, of which the fingerprint radius must lose next to none."""
+    rng = random.Random(12)
+    items, docs = [], []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        items.append((i, " ".join(words)))
+        words[rng.randrange(5, 55)] = "x"
+        if i % 2:
+            words[-1] = "y"
+        docs.append((i, " ".join([*(f"b{j}" for j in range(10)), *words, "end"])))
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.doc_id == r.item_id and 0.8 <= r.similarity < 0.85}
+    assert len(found) >= 0.99 * len(items)

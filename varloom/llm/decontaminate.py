@@ -62,20 +62,19 @@ def _held(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def shared_weight(a: str, b: str) -> Column:
-    """Sum over shingles of the smaller multiplicity in two arrays."""
-    times = lambda c, h: F.size(F.filter(c, lambda y: y == h))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, h: s + F.least(times(a, h), times(b, h)))
+def tagged(hashes: str) -> Column:
+    """Each hash with its number among its equals, hashed: what two arrays have in common of these is
+    the sum of the smaller multiplicities."""
+    order = F.array(F.array_sort(hashes))
+    number = lambda of: F.transform(of, lambda h, i: F.xxhash64(h, i.cast("long") - F.array_position(of, h)))
+    return F.get(F.transform(order, number), F.lit(0))
 
 
-def _short_texts(docs: DataFrame, index: DataFrame, ks: list[int], threshold: float) -> DataFrame:
+def _short_texts(hits: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, rid, item_id, similarity) at the threshold of texts and the longer items they may be most of."""
-    longest = index.agg(F.max("n")).first()[0]
-    short = docs.where((F.size("w") > 0) & (F.size("w") < longest)).dropDuplicates(["doc_id", "rid"]).withColumn("dn", F.size("w"))
-    counted = lambda df, *of: df.groupBy(*of).agg(F.count(F.lit(1)).alias("times"))
-    of_text = counted(reduce(DataFrame.union, [short.select("doc_id", "rid", "dn", F.lit(k).alias("k"), F.explode(grams("w", k)).alias("h")) for k in ks]), "doc_id", "rid", "dn", "k", "h")
+    of_text = hits.where(F.col("dn") < F.array_max("ns")).groupBy("doc_id", "rid", "dn", "k", "h").agg(F.count_distinct("pos").alias("times"))
     kinds = index.select("item_id", F.xxhash64("its").alias("iid"), "n", "k", "its").dropDuplicates(["item_id", "iid"])
-    of_item = counted(kinds.select("item_id", "iid", "n", "k", F.explode("its").alias("h")), "item_id", "iid", "n", "k", "h").withColumnRenamed("times", "asked")
+    of_item = kinds.select("item_id", "iid", "n", "k", F.explode("its").alias("h")).groupBy("item_id", "iid", "n", "k", "h").agg(F.count(F.lit(1)).alias("asked"))
     of_item = _held(of_item, of_item.count())
     m, of = F.col("dn") - F.col("k") + 1, F.col("n") - F.col("k") + 1
     met = of_text.join(of_item, ["k", "h"]).where((F.col("dn") < F.col("n")) & (m >= F.lit(threshold) * of - 1e-9))
@@ -100,38 +99,51 @@ def _leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     least = lambda m: F.ceil(F.lit(2.0 * threshold / (1.0 + threshold) - 1e-9) * m)  # noqa: E731  shingles to share at the threshold
     asked = items.select(F.col(item).alias("item_id"), word_hashes(F.col(text)).alias("w")).withColumn("n", F.size("w")).where("n > 0").withColumn("k", F.least(F.lit(SHINGLE), "n"))
     by_k = [asked.where(F.col("k") == k).select("item_id", "n", "k", grams("w", k).alias("its")) for k in range(1, SHINGLE + 1)]
-    index = cut(reduce(DataFrame.union, by_k).withColumn("ifp", simhash("its")))
+    index = cut(reduce(DataFrame.union, by_k).select("*", simhash("its").alias("ifp"), tagged("its").alias("itags"), F.monotonically_increasing_id().alias("at")))
     ks = [r.k for r in index.select("k").distinct().collect()]  # SHINGLE rows at most
-    docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("rid"), word_hashes(F.col(text)).alias("w"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("rid"), F.col(text).alias("text"))
+    if not ks:
+        return rows.select("doc_id", "rid", F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("windows")).where("false")
     known = index.select("k", "n", F.explode("its").alias("h")).groupBy("k", "h").agg(F.collect_set("n").alias("ns"))
     known = _held(known, known.count())
-    if not ks:
-        return docs.select("doc_id", "rid", F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("windows")).where("false")
-    hits = reduce(DataFrame.union, [docs.select("doc_id", "rid", F.lit(k).alias("k"), F.posexplode(grams("w", k)).alias("pos", "h")).join(known, ["k", "h"]).select("doc_id", "rid", "k", F.explode("ns").alias("n"), "pos") for k in ks])
-    spots = hits.groupBy("doc_id", "rid", "k", "n").agg(F.array_sort(F.collect_set("pos")).alias("ps")).withColumn("m", F.col("n") - F.col("k") + 1).withColumn("need", least(F.col("m")).cast("int"))
+    words = rows.select("doc_id", "rid", word_hashes(F.col("text")).alias("w"))
+    hits = cut(reduce(DataFrame.union, [words.select("doc_id", "rid", F.size("w").alias("dn"), F.lit(k).alias("k"), F.posexplode(grams("w", k)).alias("pos", "h")).join(known, ["k", "h"]) for k in ks]))
+
+    spots = hits.select("doc_id", "rid", "k", "dn", "pos", F.explode("ns").alias("n")).where("dn >= n").groupBy("doc_id", "rid", "k", "n").agg(F.array_sort(F.collect_set("pos")).alias("ps"), F.first("dn").alias("dn"))
+    spots = spots.withColumn("m", F.col("n") - F.col("k") + 1).withColumn("need", least(F.col("m")).cast("int"))
     low = lambda p, i: F.greatest(F.lit(0), F.get("ps", i + F.col("need") - 1) - F.col("m") + 1, F.when(i > 0, F.get("ps", i - 1) + 1).otherwise(0))  # noqa: E731  the first start whose first hit is p
-    enough = lambda p, i: (i + F.col("need") <= F.size("ps")) & (low(p, i) <= p)
-    starts = F.flatten(F.transform("ps", lambda p, i: F.when(enough(p, i), F.sequence(low(p, i), p)).otherwise(F.array().cast("array<int>"))))
-    near = spots.where(F.size("ps") >= F.col("need")).select("doc_id", "rid", "k", "n", "m", starts.alias("starts")).where(F.size("starts") > 0)
-    windows = []
+    high = lambda p: F.least(p, F.col("dn") - F.col("n"))
+    enough = lambda p, i: (i + F.col("need") <= F.size("ps")) & (low(p, i) <= high(p))
+    starts = F.flatten(F.transform("ps", lambda p, i: F.when(enough(p, i), F.sequence(low(p, i), high(p))).otherwise(F.array().cast("array<int>"))))
+    near = cut(spots.where(F.size("ps") >= F.col("need")).select("doc_id", "rid", "k", "n", "m", starts.alias("starts")).where(F.size("starts") > 0))
+
+    # Whole texts are read again for the rows with such windows alone; no other text is shuffled.
+    few = near.select(F.col("doc_id").alias("of"), F.col("rid").alias("of_rid")).distinct()
+    few = _held(few, few.limit(BROADCAST_ROWS + 1).count())
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("rid") == F.col("of_rid"))
+    texts = rows.join(few, same, "left_semi").dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", word_hashes(F.col("text")).alias("w"))
+    parts = []
     for k in ks:
-        few = near.where(F.col("k") == k).withColumnsRenamed({"doc_id": "of", "rid": "of_rid"})
-        texts = docs.select("doc_id", "rid", grams("w", k).alias("g"))
-        rows = texts.join(few, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("rid") == F.col("of_rid"))).select("doc_id", "rid", "k", "n", "m", "g", F.explode("starts").alias("s"))
-        windows.append(rows.select("doc_id", "rid", "k", "n", "s", F.slice("g", F.col("s") + 1, F.col("m")).alias("hs")).where(F.size("hs") == F.col("n") - F.col("k") + 1))
-    wide = reduce(DataFrame.union, windows).withColumn("fp", simhash("hs")).select("*", _blocks("fp").alias("x")).select("doc_id", "rid", "s", "hs", "fp", "k", "n", "x.block", "x.bits")
-    blocks = index.select("*", _blocks("ifp").alias("x")).select("item_id", "its", "ifp", "k", "n", "x.block", "x.bits")
-    blocks = _held(blocks, index.count() * len(BLOCKS))
+        at = near.where(F.col("k") == k).withColumnsRenamed({"doc_id": "of", "rid": "of_rid"})
+        held = texts.select("doc_id", "rid", grams("w", k).alias("g")).join(at, same)
+        parts.append(held.select("doc_id", "rid", "k", "n", "m", "g", F.explode("starts").alias("s")).select("doc_id", "rid", "k", "n", "m", F.slice("g", F.col("s") + 1, F.col("m")).alias("hs")))
+    windows = cut(reduce(DataFrame.union, parts).select("doc_id", "rid", "k", "n", "m", simhash("hs").alias("fp"), tagged("hs").alias("tags"), F.monotonically_increasing_id().alias("wid")))
+
+    # Only numbers and fingerprints go through the index; tags are fetched for the pairs within the radius.
+    wide = windows.select("wid", "fp", "k", "n", _blocks("fp").alias("x")).select("wid", "fp", "k", "n", "x.block", "x.bits")
+    blocks = index.select("at", "ifp", "k", "n", _blocks("ifp").alias("x")).select("at", "ifp", "k", "n", "x.block", "x.bits")
+    total = index.count()
     apart = F.col("fp").bitwiseXOR(F.col("ifp"))
-    pairs = wide.join(blocks, ["k", "n", "block", "bits"]).where((F.bit_count(apart) <= RADIUS) & (_first_shared(apart) == F.col("block")))
-    both = pairs.select("doc_id", "rid", "item_id", F.size("hs").alias("m"), shared_weight("hs", "its").alias("shared"))
+    pairs = wide.join(_held(blocks, total * len(BLOCKS)), ["k", "n", "block", "bits"]).where((F.bit_count(apart) <= RADIUS) & (_first_shared(apart) == F.col("block"))).select("wid", "at")
+    both = pairs.join(windows.select("wid", "doc_id", "rid", "m", "tags"), "wid").join(_held(index.select("at", "item_id", "itags"), total), "at")
+    both = both.select("doc_id", "rid", "item_id", "m", F.size(F.array_intersect("tags", "itags")).alias("shared"))
     scored = both.select("doc_id", "rid", "item_id", (F.col("shared") / (F.lit(2) * F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-    scored = scored.union(_short_texts(docs, index, ks, threshold))
-    best = scored.groupBy("doc_id", "rid", "item_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("windows"))
-    return best.select("doc_id", "rid", "item_id", "similarity", "windows")
+    scored = scored.union(_short_texts(hits, index, threshold))
+    return scored.groupBy("doc_id", "rid", "item_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("windows"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_leaks() of all documents and benchmark items: a row for each pair of them that matches."""
     return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
