@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table
+from varloom.llm.common import table, values
 
 #: The bounded sample that a dictionary is fitted on: distinct texts of a language, the first characters of
 #: each, and languages (those with the most distinct texts, if there are more).
@@ -98,7 +98,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], held_out: Column, key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoders(dicts)
         for b in batches:
-            got = [classify(t, by) for t in b.column(2).to_pylist()]
+            got = [classify(t, by) for t in values(b.column(2))]
             lang, score, margin = zip(*got, strict=True) if got else ((), (), ())
             cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([rejected(*x) for x in got], pa.bool_())]
             yield pa.record_batch([b.column(0), b.column(1), *cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -125,7 +125,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoders(dicts)
         for b in batches:
-            yield b.filter(pa.array([not rejected(*classify(t, by)) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not rejected(*classify(t, by)) for t in values(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import connected_components, cut, drop_cut
+from varloom.llm.common import connected_components, cut, drop_cut, values
 from varloom.llm.simhash_dedup import near_links
 
 WORDS, THRESHOLD, SEED = 5, 0.8, 42
@@ -61,7 +61,7 @@ def _prefixes(size: int, threshold: float, common: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ns, keys, fps = [], [], [], []
-            for text in b.column(2).to_pylist():
+            for text in values(b.column(2)):
                 g = shingles(text, size)
                 ids.append(xxhash.xxh3_128_digest(g.tobytes()))
                 fps.append(majority(g))
@@ -76,7 +76,7 @@ def _prefixes(size: int, threshold: float, common: np.ndarray) -> Callable:
 def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), _lists([shingles(t, size) for t in b.column(1).to_pylist()])], names=["sid", "g"])
+            yield pa.record_batch([b.column(0), _lists([shingles(t, size) for t in values(b.column(1))])], names=["sid", "g"])
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table
+from varloom.llm.common import table, values
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's number, start, end
@@ -193,7 +193,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text in b.column(1).to_pylist():
+        for text in values(b.column(1)):
             text = text or ""
             base = base_spans(text)
             more = added_spans(text, base)

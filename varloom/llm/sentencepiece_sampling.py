@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm.common import table
+from varloom.llm.common import table, values
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, OFFSET, ALPHA = 2, 2.7, 1.0
 #: Characters of a group of texts (a longer text is a group), and bits of a drawn number.
-GROUP, BITS = 2_000_000, 36
+GROUP, BITS = 400_000, 36
 
 #: A literal U+2581 is kept apart from the one that stands for a space; no text holds a lone surrogate.
 SPACE, LITERAL = "▁", "\udc81"
@@ -431,7 +431,7 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
 
         for b in batches:
             ids, texts, n = [], [], 0
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in zip(values(b.column(0)), values(b.column(1)), strict=True):
                 ids.append(i)
                 texts.append(t or "")
                 n += len(texts[-1])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import connected_components, cut, table
+from varloom.llm.common import connected_components, cut, table, values
 
 SHINGLE, SEED, RADIUS, FAN, LEAF = 3, 42, 2, 8, 24
 #: An upper node with more distinct fingerprints is split by 8-bit blocks of its other 32 bits, to 2**16 at most.
@@ -47,7 +47,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = np.fromiter(map(fingerprint, b.column(1).to_pylist()), np.uint64, b.num_rows)
+        fps = np.fromiter(map(fingerprint, values(b.column(1))), np.uint64, b.num_rows)
         yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
