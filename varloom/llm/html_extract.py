@@ -1,24 +1,27 @@
 """Main text of HTML pages by wrapper induction (operator 4).
 
 The DOM trees of a host's pages are aligned with the tree of one of them, the seed, by simple tree
-matching. Over all pages of the host each seed node counts how often it is met and how often its
-own text is the same: constant nodes are template, varying nodes are slots. The subtree that holds
-most of the varying text outside menus, adverts and the like is the host's content, and every page
-gives the blocks of the subtree that is aligned with it. Nodes of a kind that is never the article
-(menus, forms, scripts, reader comments ...) are left out by their tag, role or class.
+matching: a largest match of equal tags that keeps order and depth. Over all pages of the host each
+seed node counts how often it is met and how often its own text is the same. Constant nodes are
+template, varying nodes are slots. The subtree that holds most of the varying text is the host's
+content, and every page gives the blocks of the subtree that is aligned with it, without template
+nodes. Varying text that is never the article (adverts, reader comments ...) goes by tag, role or
+class; but a class says nothing against an element that holds most of the host's varying text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table
+from varloom.llm.common import table, values
 from varloom.llm.url_filter import split_url
 
 # HTML's element kinds.
@@ -27,41 +30,67 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table div article section main body html".split())
-#: Elements, roles and words of a class or id that are never the article.
-DROP = frozenset("head script style title noscript template iframe object embed svg canvas math nav footer aside form button select option textarea menu dialog input".split())
+#: Elements and roles that are never the article.
+DROP = frozenset("head script style title noscript template iframe svg nav footer aside form button select option textarea menu dialog input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
-NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager toolbar skip".split())
+#: A class or id names noise where one of its words is of the first list, and the others of either.
+NOISE = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager toolbar skip".split())
+PLACES = frozenset("area bar block body bottom box button buttons container content left right top main page global site primary secondary inner outer wrap wrapper list item items link links module panel section slot thread unit user reader widget form container group row column col posts post articles article stories".split())
 HEADERS = frozenset("header masthead topbar".split())
 ROOTS = frozenset(("article", "main"))
-#: Open elements beyond this depth are laid flat; child lists whose product of lengths is larger are aligned from both ends.
-MAX_DEPTH, MAX_CELLS = 48, 2_500
-#: A slot is template where its text is the same on this share of at least so many pages.
-CONSTANT, MIN_PAGES = 0.9, 10
+#: The smoothed share of other pages with the same text from which a node is template: anywhere (two pages
+#: do), and inside an article or main element (four pages do), whose copies make its text constant too.
+CONSTANT, CONSTANT_INSIDE = 0.7, 0.85
 #: The content root holds this share of a host's varying text.
 MASS = 0.8
-#: Wrappers are broadcast up to this many bytes in all, and joined by host beyond.
-BROADCAST_BYTES = 8 << 20
-
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: Wrappers are broadcast up to this many bytes in all, and joined by host beyond; a node takes up to so many times the bytes of its tag.
+BROADCAST_BYTES, NODE_BYTES = 8 << 20, 12
+#: Cells of a match of two child lists that are kept at once; longer lists are halved first.
+CELLS = 4_000_000
+
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_NAME = re.compile(r"</?[a-zA-Z]")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile("[^a-z0-9]+")
+
+
+def _named(text: str, words: frozenset) -> bool:
+    for name in text.lower().split():
+        parts = [w for w in _WORD.split(name) if w and not w.isdigit()]
+        if any(w in words for w in parts) and all(w in words or w in NOISE or w in PLACES for w in parts):
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "noise", "role", "kids", "up", "at")
+    """noise: 0 for none, 1 by a class or id alone, 2 by tag, role or a hidden attribute."""
+
+    __slots__ = ("tag", "noise", "role", "kids", "els", "up", "at", "shape")
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
-        self.tag, self.up, self.kids, self.at, self.role = tag, up, [], -1, ""
-        words: set[str] = set()
-        if attrs:
+        self.tag, self.up, self.kids, self.els, self.at, self.role = tag, up, [], [], -1, ""
+        self.noise = 2 if tag in DROP else 0
+        named = header = False
+        if attrs and not attrs.isspace():
             for m in _ATTR.finditer(attrs):
-                value = (m[2] or m[3] or m[4] or "").lower()
-                if m[1].lower() == "role":
-                    self.role = value.strip()
-                else:
-                    words.update(re.split("[^a-z0-9]+", value))
-        noise = tag in DROP or self.role in ROLES or bool(words & NOISE) or (tag in ("header",) or bool(words & HEADERS)) and not self.inside_root() or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
-        self.noise = noise and tag not in ("html", "body", "main")
+                name = m[1].lower()
+                if name in ("class", "id"):
+                    value = m[2] or m[3] or m[4] or ""
+                    named, header = named or _named(value, NOISE), header or _named(value, HEADERS)
+                elif name == "role":
+                    self.role = (m[2] or m[3] or m[4] or "").strip().lower()
+                    if self.role in ROLES:
+                        self.noise = 2
+                elif name == "hidden":
+                    self.noise = 2
+        if not self.noise:
+            if (tag == "header" or header) and not self.inside_root():
+                self.noise = 2 if tag == "header" else 1
+            elif named:
+                self.noise = 1
+        if tag in ("html", "body", "main", "article") and self.noise == 1:
+            self.noise = 0
 
     def inside_root(self) -> bool:
         x = self.up
@@ -71,93 +100,83 @@ class Node:
             x = x.up
         return False
 
-    def elements(self) -> list[Node]:
-        return [x for x in self.kids if type(x) is Node]
-
     def own(self) -> str:
-        return _SPACE.sub(" ", "".join([x for x in self.kids if type(x) is str])).strip()
-
-
-def _tag_end(html: str, at: int) -> int:
-    """The place of the > that ends the tag at at, outside quoted values; -1 if there is none."""
-    end = html.find(">", at)
-    part = html[at:end]
-    if end < 0 or '"' not in part and "'" not in part:
-        return end
-    i = at
-    for _ in range(64):  # quoted values with a > inside; more of them end at the first >
-        m = re.compile(r"""=\s*(["'])""").search(html, i, end)
-        if m is None:
-            return end
-        close = html.find(m[1], m.end())
-        if close < 0:
-            return end
-        i = close + 1
-        if close > end:
-            end = html.find(">", close)
-            if end < 0:
-                return -1
-    return end
+        return " ".join("".join([x for x in self.kids if type(x) is str]).split())
 
 
 def parse(html: str) -> Node:
     """A tree of any string: unclosed, crossed and stray tags included. Character references stay as they are."""
     root = Node("#root", "", None)
-    top, depth, at, n = root, 0, 0, len(html)
+    top, at, n, find, tag_at = root, 0, len(html), html.find, _TAG.match
+    #: Numbers of open elements by tag: within the innermost scope, and in all.
+    scopes: list[dict[str, int]] = [{}]
+    opened: dict[str, int] = {}
+
+    def close(x: Node) -> Node:
+        """Closes x and all below it."""
+        nonlocal top
+        while True:
+            gone = top
+            top = gone.up
+            opened[gone.tag] -= 1
+            if gone.tag in SCOPE:
+                scopes.pop()
+            else:
+                scopes[-1][gone.tag] -= 1
+            if gone is x:
+                return top
+
     while at < n:
-        lt = html.find("<", at)
+        lt = find("<", at)
         if lt < 0:
             top.kids.append(html[at:])
             break
         if lt > at:
             top.kids.append(html[at:lt])
-        nxt = html[lt + 1 : lt + 2]
-        if nxt == "!" or nxt == "?":
+        m = tag_at(html, lt)
+        if m is None:
             if html.startswith("<!--", lt):
-                end = html.find("-->", lt + 4)
+                end = find("-->", lt + 4)
                 at = n if end < 0 else end + 3
-            else:
-                end = html.find(">", lt)
+            elif html.startswith(("<!", "<?"), lt):
+                end = find(">", lt)
                 at = n if end < 0 else end + 1
+            elif _NAME.match(html, lt):
+                break  # the text ends within a tag
+            else:
+                top.kids.append("<")
+                at = lt + 1
             continue
-        closing = nxt == "/"
-        m = _NAME.match(html, lt + 1 + closing)
-        if m is None:
-            top.kids.append("<")
-            at = lt + 1
-            continue
-        tag = m[0].lower()
-        end = _tag_end(html, m.end())
-        if end < 0:
-            break
-        at = end + 1
+        at = m.end()
+        closing, tag, attrs = m.groups()
+        tag = tag.lower()
         if closing:
-            x = top
-            while x is not root and x.tag != tag and not (x.tag in SCOPE and tag not in SCOPE):
-                x = x.up
-            if x is not root and x.tag == tag:
-                while top is not x:
-                    top, depth = top.up, depth - 1
-                top, depth = x.up, depth - 1
+            if (opened if tag in SCOPE else scopes[-1]).get(tag):
+                x = top
+                while x.tag != tag:
+                    x = x.up
+                close(x)
             continue
-        attrs = html[m.end() : end]
-        shut = CLOSES.get(tag, {"p"} if tag in BLOCK else None)
-        if shut:
+        shut = CLOSES.get(tag) or (("p",) if tag in BLOCK else ())
+        if shut and any(scopes[-1].get(t) for t in shut):
             x = top
-            while x is not root and x.tag not in shut and x.tag not in SCOPE:
+            while x.tag not in shut:
                 x = x.up
-            if x is not root and x.tag in shut:
-                while top is not x:
-                    top, depth = top.up, depth - 1
-                top, depth = x.up, depth - 1
+            close(x)
         node = Node(tag, attrs, top)
         top.kids.append(node)
+        top.els.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}", re.I).search(html, at)
-            end = -1 if close is None else html.find(">", close.end())
+            end = re.compile(rf"</{tag}", re.I).search(html, at)
+            end = -1 if end is None else find(">", end.end())
             at = n if end < 0 else end + 1
-        elif tag not in VOID and not attrs.endswith("/") and depth < MAX_DEPTH:
-            top, depth = node, depth + 1
+        elif tag not in VOID and not attrs.endswith("/"):
+            top = node
+            opened[tag] = opened.get(tag, 0) + 1
+            if tag in SCOPE:
+                scopes.append({})
+            else:
+                scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
     return root
 
 
@@ -168,107 +187,211 @@ def number(root: Node) -> list[Node]:
         x = todo.pop()
         x.at = len(out)
         out.append(x)
-        todo += reversed(x.elements())
+        todo += reversed(x.els)
     return out
 
 
-def align(page: Node, seed: Node) -> dict[int, Node]:
-    """Simple tree matching: seed node number -> the page's node, in a largest order-preserving match."""
-    sizes: dict[tuple[int, int], int] = {}
-
-    def pairs(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
-        if len(a) * len(b) > MAX_CELLS:
-            out, i, j, k, m = [], 0, 0, len(a), len(b)
-            while i < k and j < m and a[i].tag == b[j].tag:
-                out.append((a[i], b[j]))
-                i, j = i + 1, j + 1
-            while k > i and m > j and a[k - 1].tag == b[m - 1].tag:
-                k, m = k - 1, m - 1
-                out.append((a[k], b[m]))
-            while i < k and j < m:
-                if a[i].tag == b[j].tag:
-                    out.append((a[i], b[j]))
-                    j += 1
-                i += 1
-            return out
-        grid = [[0] * (len(b) + 1)]
-        for x in a:
-            last, row = grid[-1], [0]
-            for j, y in enumerate(b):
-                best = last[j + 1] if last[j + 1] >= row[j] else row[j]
-                if x.tag == y.tag and (s := last[j] + size(x, y)) > best:
-                    best = s
-                row.append(best)
-            grid.append(row)
-        out, i, j = [], len(a), len(b)
-        while i and j:
-            if grid[i][j] == grid[i - 1][j]:
-                i -= 1
-            elif grid[i][j] == grid[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                out.append((a[i], b[j]))
-        return out
-
-    def size(x: Node, y: Node) -> int:
-        a, b = x.elements(), y.elements()
+class Shapes:
+    """Trees of tags without texts, each a number: what two elements match in depends on their shapes alone."""
+
+    def __init__(self):
+        self.of: dict[tuple, int] = {}
+        self.kids: list[tuple[int, ...]] = []
+        self.tags: list[str] = []
+        self.size: list[int] = []
+        self.met: dict[tuple[int, int], int] = {}
+
+    def label(self, nodes: list[Node]) -> None:
+        """Sets shape in elements that are in page order."""
+        for x in reversed(nodes):
+            key = (x.tag, *[k.shape for k in x.els])
+            if (i := self.of.get(key)) is None:
+                i = self.of[key] = len(self.kids)
+                self.kids.append(key[1:])
+                self.tags.append(x.tag)
+                self.size.append(1 + sum([self.size[k] for k in key[1:]]))
+            x.shape = i
+
+    def match(self, x: int, y: int) -> int:
+        """The size of the largest match of two shapes of one tag."""
+        if x == y:
+            return self.size[x]
+        a, b = self.kids[x], self.kids[y]
         if not a or not b:
             return 1
-        key = (id(x), y.at)
-        if (s := sizes.get(key)) is None:
-            s = sizes[key] = 1 + sum(size(p, q) if len(a) * len(b) <= MAX_CELLS else 1 for p, q in pairs(a, b))
+        if (s := self.met.get((x, y))) is None:
+            s = 1
+            for i, j in self.pairs(a, b):
+                s += self.match(a[i], b[j])
+            self.met[x, y] = s
         return s
 
+    def pairs(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The places that a largest match of two lists of shapes pairs, in order. Equal ends always match."""
+        lo, i, j = 0, len(a), len(b)
+        while lo < i and lo < j and a[lo] == b[lo]:
+            lo += 1
+        ends = []
+        while i > lo and j > lo and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            ends.append((i, j))
+        out = [(k, k) for k in range(lo)]
+        if lo < i and lo < j:
+            out += [(lo + p, lo + q) for p, q in self._middle(a[lo:i], b[lo:j])]
+        return out + ends[::-1]
+
+    def weights(self, a: tuple[int, ...], b: tuple[int, ...]) -> dict[int, np.ndarray]:
+        """For each shape of a, what it matches in with each of b."""
+        kinds, which = np.unique(np.array(b), return_inverse=True)
+        out = {}
+        for x in dict.fromkeys(a):
+            row = []
+            for y in kinds.tolist():
+                row.append(self.match(x, y) if self.tags[x] == self.tags[y] else 0)
+            out[x] = np.array(row, np.int64)[which]
+        return out
+
+    def _middle(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
+        if len(a) * len(b) <= 600:
+            grid, tags, match = [[0] * (len(b) + 1)], self.tags, self.match
+            for x in a:
+                last, row = grid[-1], [0]
+                for j, y in enumerate(b):
+                    best = last[j + 1] if last[j + 1] >= row[j] else row[j]
+                    if tags[x] == tags[y] and (s := last[j] + match(x, y)) > best:
+                        best = s
+                    row.append(best)
+                grid.append(row)
+            return _trace(grid, len(a), len(b))
+        weight = self.weights(a, b)
+        if len(a) * len(b) <= CELLS or len(a) == 1:
+            return _trace(list(_rows(a, weight)), len(a), len(b))
+        half = len(a) // 2  # the halves of a best match, from the ends inwards
+        for left in _rows(a[:half], weight):
+            pass
+        for right in _rows(a[half:][::-1], {x: w[::-1] for x, w in weight.items()}):
+            pass
+        cut = int((left + right[::-1]).argmax())
+        return self.pairs(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in self.pairs(a[half:], b[cut:])]
+
+
+def _rows(a: tuple[int, ...], weight: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+    """The rows of the grid of best matches of the first elements of two lists."""
+    row = np.zeros(len(next(iter(weight.values()))) + 1, np.int64)
+    yield row
+    for x in a:
+        w = weight[x]
+        new = row.copy()
+        np.maximum(new[1:], np.where(w > 0, row[:-1] + w, 0), out=new[1:])
+        row = np.maximum.accumulate(new)
+        yield row
+
+
+def _trace(grid: list, i: int, j: int) -> list[tuple[int, int]]:
+    out = []
+    while i and j:
+        if grid[i][j] == grid[i - 1][j]:
+            i -= 1
+        elif grid[i][j] == grid[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def align(page: Node, seed: Node, shapes: Shapes | None = None) -> dict[int, Node]:
+    """Simple tree matching: seed node number -> the page's node, in a largest order-preserving match.
+    A seed that is given with shapes has its own already."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.label(number(seed))
+    shapes.label(number(page))
     out, todo = {}, [(page, seed)]
     while todo:
         x, y = todo.pop()
         out[y.at] = x
-        a, b = x.elements(), y.elements()
-        if a and b:
-            todo += pairs(a, b)
+        if x.els and y.els:
+            if x.shape == y.shape:
+                todo += zip(x.els, y.els, strict=True)
+            else:
+                todo += [(x.els[i], y.els[j]) for i, j in shapes.pairs(shapes.kids[x.shape], shapes.kids[y.shape])]
     return out
 
 
-def _noisy(x: Node | None) -> bool:
-    while x is not None:
-        if x.noise:
-            return True
-        x = x.up
-    return False
-
+class Wrapper:
+    """What a host's pages have in common: the seed's tree, the number of its node that is the content,
+    those of its template nodes, and of those whose class is no sign of noise."""
+
+    def __init__(self, seed: str):
+        self.tree = parse(seed)
+        self.nodes = number(self.tree)
+        self.shapes = Shapes()
+        self.shapes.label(self.nodes)
+        self.root, self.template, self.pardoned = 0, set(), set()
+
+    def align(self, page: Node) -> dict[int, Node]:
+        if len(self.shapes.kids) > 50_000:  # shapes of other pages are of no use beyond them
+            self.shapes = Shapes()
+            self.shapes.label(self.nodes)
+        return align(page, self.tree, self.shapes)
+
+    def learn(self, slots: dict[int, tuple[int, int, int]]) -> Wrapper:
+        """slots: node -> pages that have it, pages with the seed's text, characters of differing texts."""
+        nodes = self.nodes
+
+        def masses(noisy: set[int]) -> list[int]:
+            mass = [0] * len(nodes)
+            for i in range(len(nodes) - 1, -1, -1):
+                if i in noisy:
+                    mass[i] = 0
+                    continue
+                n, same, varied = slots.get(i, (0, 0, 0))
+                mass[i] += varied if n > same else len(nodes[i].own()) if n <= 1 else 0
+                if nodes[i].up is not None and nodes[i].up.at not in noisy:
+                    mass[nodes[i].up.at] += mass[i]
+            return mass
+
+        mass = masses({x.at for x in nodes if x.noise == 2})
+        self.pardoned = {x.at for x in nodes if x.noise == 1 and mass[x.at] and mass[x.at] >= MASS * mass[0]}
+        noisy = {x.at for x in nodes if x.noise == 2 or x.noise == 1 and x.at not in self.pardoned}
+        mass = masses(noisy)
+        for x in nodes:  # in page order: below noise all is noise
+            if x.up is not None and x.up.at in noisy:
+                noisy.add(x.at)
+        at = 0
+        while True:
+            kids = [k.at for k in nodes[at].els if k.tag in BLOCK and k.at not in noisy]
+            best = max(kids, key=lambda k: (mass[k], -k), default=None)
+            if best is None or not mass[best] or mass[best] < MASS * mass[0] or not any(k.tag in BLOCK for k in nodes[best].els):
+                break
+            at = best
+        holds = [x.at for x in nodes if (x.tag in ROOTS or x.role == "main") and x.at not in noisy and mass[x.at] >= MASS * mass[0]]
+        self.root = max(holds) if holds else at
+        top = nodes[self.root]
+        inside = top.tag in ROOTS or top.role == "main"
+        least = CONSTANT_INSIDE if inside else CONSTANT
+        # Where no text varies, all pages are copies, and none of it is told from the article.
+        self.template = {i for i, (n, same, _) in slots.items() if n > 1 and (same - 0.5) / n >= least} if mass[0] else set()
+        return self
+
+
+def _tops(page: Node, pardoned: set[int]) -> list[Node]:
+    """The page's own article and main elements, outermost ones, or the page."""
+    found, todo = [], [page]
+    while todo:
+        x = todo.pop()
+        if x is not page and x.noise and id(x) not in pardoned:
+            continue
+        if x.tag in ROOTS or x.role == "main":
+            found.append(x)
+        else:
+            todo += reversed(x.els)
+    return found or [page]
 
-def content_root(nodes: list[Node], slots: dict[int, tuple[int, int, int]]) -> tuple[int, set[int]]:
-    """The number of the seed node that is the host's content, and those of its template nodes.
 
-    slots: node -> pages that have it, pages with the seed's text, characters of differing texts.
-    """
-    mass = [0] * len(nodes)
-    for i in range(len(nodes) - 1, -1, -1):
-        x = nodes[i]
-        if not _noisy(x):
-            n, same, varied = slots.get(i, (0, 0, 0))
-            mass[i] += varied if n > same else len(x.own()) if n <= 1 else 0
-        if x.up is not None:
-            mass[x.up.at] += mass[i]
-    at = 0
-    while True:
-        kids = [k.at for k in nodes[at].elements() if k.tag in BLOCK and not k.noise]
-        best = max(kids, key=lambda k: (mass[k], -k), default=None)
-        if best is None or not mass[best] or mass[best] < MASS * mass[0] or not any(k.tag in BLOCK for k in nodes[best].elements()):
-            break
-        at = best
-    explicit = [x.at for x in nodes if (x.tag in ROOTS or x.role == "main") and not _noisy(x)]
-    holds = [e for e in explicit if mass[e] >= MASS * mass[0]]
-    if holds:
-        at = max(holds)
-    if nodes[at].tag in ROOTS:
-        return at, set()
-    return at, {i for i, (n, same, _) in slots.items() if n >= MIN_PAGES and same >= CONSTANT * n}
-
-
-def blocks(root: Node, template: set[int]) -> list[str]:
-    """Texts of the blocks below root, in page order; noise and template nodes left out."""
+def blocks(root: Node, template: set[int], pardoned: set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks below root, in page order; noise and template nodes left out (sets of id())."""
     out: list[str] = []
     line: list[str] = []
 
@@ -286,12 +409,12 @@ def blocks(root: Node, template: set[int]) -> list[str]:
             flush()
         elif type(x) is str:
             line.append(x)
-        elif x is not root and x.noise:
+        elif x is not root and x.noise and id(x) not in pardoned:
             line.append(" ")
         elif x.tag == "br":
             line.append(" ")
         else:
-            kids = [k for k in x.kids if type(k) is not str] if id(x) in template else x.kids
+            kids = x.els if id(x) in template else x.kids
             if x.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -300,23 +423,37 @@ def blocks(root: Node, template: set[int]) -> list[str]:
     return out
 
 
-def extract(page: Node, seed: Node, root: int, template: set[int]) -> str:
+def extract(page: Node, wrapper: Wrapper) -> str:
     """The page's blocks below the node that is aligned with the content root. Where none is, below
-    its own article or main elements, and else below the whole page."""
-    met = align(page, seed)
-    constant = {id(met[i]) for i in template if i in met}
-    if root in met and root:
-        tops = [met[root]]
-    else:
-        tops = [x for x in number(page) if (x.tag in ROOTS or x.role == "main") and not _noisy(x)]
-        tops = [x for x in tops if not x.inside_root()] or [page]
-    return "\n".join(b for t in tops for b in blocks(t, constant))
+    its own article or main elements, and else below the whole page.
+
+    Where template nodes would take most of the text of such a node, the page is a copy of others, and
+    they stay."""
+    met = wrapper.align(page)
+    pardoned = {id(met[i]) for i in wrapper.pardoned if i in met}
+    constant = {id(x) for i in wrapper.template if (x := met.get(i)) is not None and x.own()}
+    tops = [met[wrapper.root]] if wrapper.root and wrapper.root in met else _tops(page, pardoned)
+    out = []
+    for t in tops:
+        mine = blocks(t, constant, pardoned)
+        if constant and t is not page:
+            whole = blocks(t, set(), pardoned)
+            if 2 * sum(map(len, mine)) < sum(map(len, whole)):
+                mine = whole
+        out += mine
+    return "\n".join(out)
+
+
+def _deep() -> None:
+    """Matching recurses as deep as the pages are; Python's own frames are on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, seed, html -> for each host and seed node: pages, same texts, characters of differing texts."""
+    """host, seed, html -> for each host and seed node with a text: pages, same texts, characters of differing texts."""
+    _deep()
     total: dict[tuple[str, int], list[int]] = {}
-    seeds: dict[str, Node] = {}
+    wrappers: dict[str, tuple[Wrapper, list[str]]] = {}
 
     def flush() -> pa.RecordBatch:
         keys = list(total)
@@ -325,44 +462,41 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch(cols, names=["host", "node", "n", "same", "varied"])
 
     for b in batches:
-        for host, seed, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if host not in seeds:
-                if len(seeds) > 200:
-                    seeds.clear()
-                seeds[host] = parse(seed)
-                number(seeds[host])
-            nodes, text = seeds[host], html or ""
-            met, own = align(parse(text), nodes), {}
-            todo = [nodes]
-            while todo:
-                x = todo.pop()
-                own[x.at] = x.own()
-                todo += x.elements()
-            for i, x in met.items():
+        for host, seed, html in zip(*(values(b.column(i)) for i in range(3)), strict=True):
+            if host not in wrappers:
+                if len(wrappers) > 200:
+                    wrappers.clear()
+                made = Wrapper(seed)
+                wrappers[host] = made, [x.own() for x in made.nodes]
+            wrapper, own = wrappers[host]
+            for i, x in wrapper.align(parse(html)).items():
                 said = x.own()
-                got = total.setdefault((host, i), [0, 0, 0])
-                got[0] += 1
-                got[1] += said == own[i]
-                got[2] += 0 if said == own[i] else len(said)
+                if said or own[i]:
+                    got = total.setdefault((host, i), [0, 0, 0])
+                    got[0] += 1
+                    if said == own[i]:
+                        got[1] += 1
+                    else:
+                        got[2] += len(said)
         if len(total) > 200_000:
             yield flush()
     yield flush()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wrappers: dict[str, tuple[Node, int, set[int]]] = {}
+    _deep()
+    wrappers: dict[str, Wrapper] = {}
     for b in batches:
         out = []
-        for host, seed, slots, html in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+        for host, seed, slots, html in zip(*(values(b.column(i)) for i in (2, 3, 4, 5)), strict=True):
             if not html:
                 out.append("")
                 continue
             if host not in wrappers:
                 if len(wrappers) > 200:
                     wrappers.clear()
-                tree = parse(seed)
-                wrappers[host] = (tree, *content_root(number(tree), {s["node"]: (s["n"], s["same"], s["varied"]) for s in slots}))
-            out.append(extract(parse(html), *wrappers[host]))
+                wrappers[host] = Wrapper(seed).learn({s["node"]: (s["n"], s["same"], s["varied"]) for s in slots or ()})
+            out.append(extract(parse(html), wrappers[host]))
         yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -376,17 +510,18 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), split_url(F.col(url))[0].alias("host"))
     seeds = rows.where("html <> ''").groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("seed"))
-    small = lambda df: F.broadcast(df) if (df.agg(F.sum(F.octet_length("seed") + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES else df
+    small = lambda df: F.broadcast(df) if (df.agg(F.sum(F.octet_length("seed") * F.lit(NODE_BYTES) + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES else df
     hint = small(seeds)
     stats = rows.where("html <> ''").join(hint, "host").select("host", "seed", "html").mapInArrow(_slots, "host string, node int, n long, same long, varied long")
     sums = stats.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("n", "same", "varied")])
     slots = sums.groupBy("host").agg(F.collect_list(F.struct("node", "n", "same", "varied")).alias("slots"))
-    wrappers = seeds.join(slots, "host")
-    wrappers = F.broadcast(wrappers) if hint is not seeds else wrappers  # a slot list is bounded by its seed's nodes
+    wrappers = seeds.join(slots, "host", "left")
+    wrappers = F.broadcast(wrappers) if hint is not seeds else wrappers  # a slot takes 32 bytes, a node's tag 3 at least
     return rows.join(wrappers, "host", "left").select("page_id", "url", "host", "seed", "slots", "html").mapInArrow(_texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_pages() of all pages: a row for every row; nulls, repeats and empty tables as there."""
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
