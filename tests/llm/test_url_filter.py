@@ -25,7 +25,34 @@ def test_templates_learn_from_rules_and_merge(spark):
     got = judge_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), rules=rules).collect()
     for r in got:
         assert r.verdict == ("block" if r.host == "s.net" and r.path.startswith("/bad/") else "allow"), r
-        assert r.template == (f"{r.path.split('/')[1]}/*" if r.host == "s.net" else "*/*")
+        assert r.template == (f"{r.path.split('/')[1]}/*" if r.host == "s.net" else "*")
+
+
+def test_literals_are_chosen_below_their_parent(spark):
+    """Many sections of one host, each a hundredth of its pages, one of them blocked; and a deep path."""
+    rules = (("block", "s.net/s7/1"), ("allow", "s.net/s8/1"))
+    deep = "/".join(["deep"] * 60)
+    urls = [f"http://s.net/s{k}/{i % 2}{i}" for k in range(100) for i in range(40)] + [f"http://s.net/{deep}/{i}" for i in range(30)] + [f"http://s.net/rare{i}/s7/1" for i in range(30)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    for r in got:
+        assert r.verdict == ("block" if r.path.startswith("/s7/") else "allow"), r
+        assert r.template == ("deep/" * 60 + "*" if r.path.startswith("/deep") else "*/s7/1" if r.path.startswith("/rare") else f"{r.path.split('/')[1]}/*"), r
+
+
+def test_a_few_labels_block_no_large_branch(spark):
+    rules = (("block", "s.net/a/bad"),)
+    urls = [f"http://s.net/a/bad{i}" for i in range(13)] + [f"http://s.net/a/x{i}" for i in range(2000)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules)
+    assert got.where("verdict = 'block'").count() == 13
+
+
+def test_templates_are_shared_by_hosts(spark):
+    """What is blocked on labelled hosts is blocked at the same template of a host without labels."""
+    rules = (("block", "org/win"), ("allow", "org/"))
+    urls = [f"http://h{h}.{d}/{s}/{i}" for d in ("org", "net") for h in range(4) for s in ("win", "news") for i in range(20)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    assert all(r.verdict == ("block" if "/win/" in r.path else "allow") for r in got)
+    assert sum(r.rule is None and r.verdict == "block" for r in got) == 80
 
 
 def test_too_many_rules(spark):
@@ -34,7 +61,7 @@ def test_too_many_rules(spark):
 
 
 def test_sql_agrees_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
-    urls = URLS + [f"https://s{i % 3}.com/{'de' if i % 2 else 'en'}/{i}/{'x' * (i % 5)}" for i in range(300)] + ["https://h.com/" + "/".join("abcdefghijkl")] * 30
+    urls = URLS + [f"https://s{i % 5}.{'org' if i % 3 else 'net'}/{('win', 'news', 'x' + str(i))[i % 3]}/{i % 4}/{i}" for i in range(300)] + [f"https://h{i % 7}.example.{'org' if i % 2 else 'net'}/es/{i}" for i in range(200)] + [f"https://s{i % 3}.com/{'de' if i % 2 else 'en'}/{i}/{'x' * (i % 5)}" for i in range(300)] + ["https://h.com/" + "/".join("abcdefghijkl")] * 30
     spark.createDataFrame([(i if i % 50 else None, u, "c") for i, u in enumerate(urls * 2)], "page_id long, url string, template string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     got = op9_url_filter(spark, str(tmp_path))
     con = duckdb.connect()
