@@ -3,7 +3,7 @@ import random
 import re
 import time
 
-from varloom.llm.pii import KINDS, added_spans, base_spans, find_pii, luhn
+from varloom.llm.pii import DIGIT_WORDS, KINDS, LOOKALIKES, added_spans, base_spans, find_pii, luhn
 
 
 def slow(text):
@@ -49,6 +49,41 @@ def test_disguises_map_back_to_the_source():
     assert show("é four five three nine five seven eight seven six three six two one four eight six é") == [("card", "four five three nine five seven eight seven six three six two one four eight six")]
 
 
+def test_disguises_of_any_length():
+    """No limit on labels, dots, blanks or the distance of the signs."""
+    for x in (f"john at {'a' * 70} dot com", "a at b dot c dot d dot e dot f dot g dot h dot com", "john dot smith at example dot com", "john     at\n\n   example \t dot    com", "j dot o dot e (at) ex dot com", f"{'a dot ' * 200}b at {'c dot ' * 200}com"):
+        assert show(f"mail, {x}, now") == [("email", x)], x
+    assert show("five   five  five, zero three-two eight five five five zero three two eight five zero and") == []
+
+
+def test_planted_disguises_against_what_was_planted():
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    look = {v: k for k, v in LOOKALIKES.items()}
+    digits = {v: k for k, v in DIGIT_WORDS.items() if k != "oh"}
+    clean = ["the", "river", "at", "noon", "is", "one", "point", "of", "2", "look", "house", "3.5", "and"]
+    for _ in range(1500):
+        kind, sep = rng.randrange(3), lambda: " " * rng.randrange(1, 6)
+        if kind == 0:
+            at = rng.choice([" at ", " (at) ", "[at]", f"{sep()}AT{sep()}", " @ ", "(@)", "@"])
+            dots = lambda: rng.choice([" dot ", "(dot)", " [.] ", f"{sep()}DOT{sep()}", " punkt "])
+            ends = dots() + word(rng.choice([2, 3, 80]))
+            planted = word(rng.randrange(1, 90)) + "".join(dots() + word(3) for _ in range(rng.randrange(3) if at != "@" else 0)) + at + word(rng.randrange(1, 90)) + "".join(dots() + word(2) for _ in range(rng.randrange(8))) + ends
+        elif kind == 1:
+            plain = f"{word(4)}@{word(5)}.{word(3)}"
+            planted = "".join(look.get(c, c) if rng.random() < 0.5 else c for c in plain)
+            planted = planted if planted != plain else plain.replace("@", "\u200b@")
+        else:
+            planted = "+353 " + rng.choice([" ", ", ", " - "]).join(digits[rng.choice("0123456789")] for _ in range(7))
+        before, after = rng.choice(["", "Note: ", "Look, ", f"{rng.choice(clean)}: "]), rng.choice(["", ".", ", and then", "\nThe river"])
+        text = before + planted + after
+        got = [(a, b) for k, a, b in added_spans(text, base_spans(text)) if k in (0, 3)]
+        assert got == [(len(before), len(before) + len(planted))], (text, got)
+    for _ in range(1500):
+        text = " ".join(rng.choices([c for c in clean if c not in ("at", "point")], k=30))
+        assert show(text) == [], text
+
+
 def test_clean_texts_stay_clean():
     for t in ("We met at noon on the dot in town.", "one two three", "look at this. dot", "é at a, the dot", "", "a.b c@ d", "plain +1 (353) 555-0328 and x@y.org and 1.2.3.4"):
         assert show(t) == []
@@ -56,7 +91,7 @@ def test_clean_texts_stay_clean():
 
 def test_long_runs_are_read_once():
     start = time.time()
-    for t in ("a" * 10**6, "1" * 10**6, "1." * 10**6, "a@" * 10**5, "+1" * 10**5, "one " * 10**5, " at a" * 10**5, "1 " * 10**6):
+    for t in ("a" * 10**6, "1" * 10**6, "1." * 10**6, "a@" * 10**5, "+1" * 10**5, "one " * 10**5, " at a" * 10**5, " dot a" * 10**5, "a at b dot " * 10**5, " " * 10**6, "a" + " " * 10**6 + "at", "(" * 10**5 + " " * 10**5, "one" + " " * 10**6 + "two", "x@" + " " * 10**6, "1 " * 10**6):
         base_spans(t)
         added_spans(t, [])
     assert time.time() - start < 30

@@ -71,10 +71,12 @@ DIGIT_WORDS = {w: str(i % 10) for i, w in enumerate("zero one two three four fiv
 MIN_SPELLED = 4  # digit words in a row
 
 _D = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_D})(?:[ ,-]{{1,2}}(?:{_D})){{{MIN_SPELLED - 1},}}+(?![^\W_])")
-_BRACKET = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,2}(at|dot|@|\.)\s{0,2}[\])}>]\s{0,3}")
-_WORDS = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}(at|dot|punkt|point|punto)\s{1,3}(?=[a-z0-9])")
-_SPACED = re.compile(r"(?i)(?<=[a-z0-9])\s{1,3}([@.])\s{1,3}(?=[a-z0-9])|(?<=[a-z0-9])(?:\s{1,3}@|@\s{1,3})(?=[a-z0-9])")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_D})(?:[\s,-]++(?:{_D})){{{MIN_SPELLED - 1},}}+(?![^\W_])")
+#: What stands for a sign: in brackets, as a word of its own, or as a sign with white space around it.
+_BRACKET = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(at|dot|@|\.)\s*+[\])}>]\s*+")
+_WORDS = re.compile(r"(?i)(?<=[a-z0-9])\s++(at|dot|punkt|point|punto)\s++(?=[a-z0-9])")
+_SPACED = re.compile(r"(?i)(?<=[a-z0-9])\s++@\s*+(?=[a-z0-9])|(?<=[a-z0-9])@\s++(?=[a-z0-9])")
+_LABEL = re.compile(r"[A-Za-z0-9._%+@-]*+")
 _NON_ASCII = re.compile(r"[^\x00-ɏḀ-ỿ]")
 
 
@@ -115,7 +117,7 @@ class Rewritten:
 
 
 def _spelled(m: re.Match) -> str:
-    return "".join(DIGIT_WORDS[w] for w in re.split("[ ,-]+", m.group().lower()))
+    return "".join(DIGIT_WORDS[w] for w in re.split(r"[\s,-]+", m.group().lower()))
 
 
 #: (rewrites a text to pieces), in the order in which they are composed.
@@ -127,43 +129,52 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _spelled(m)) for m in _SPELLED.finditer(text)]
 
 
-def _at_dot(text: str) -> list[tuple[int, int, str]]:
-    """Bracketed signs always; bare words only where an ``at`` and a ``dot`` follow closely."""
+def _signs(text: str) -> list[tuple[int, int, str, bool]]:
+    """What may stand for a sign, in order and apart from each other: start, end, sign, whether it surely does."""
     sign = lambda w: "@" if w.lower() in ("at", "@") else "."
-    found = [(m.start(), m.end(), sign(m[1])) for m in _BRACKET.finditer(text)]
-    found += [(m.start(), m.end(), m[1] or "@") for m in _SPACED.finditer(text) if m[1] != "."]
-    words = list(_WORDS.finditer(text))
-    dots = [m.start() for m in words if m[1].lower() != "at"] + [lo for lo, _, s in found if s == "."]
-    if dots:
-        dots.sort()
-        for m in words:
-            if m[1].lower() == "at":
-                i = bisect_right(dots, m.end())
-                if i < len(dots) and dots[i] - m.end() <= 64 and not re.search(r"\s", text[m.end() : dots[i]]):
-                    found.append((m.start(), m.end(), "@"))
-        signs = sorted(lo for lo, _, s in found if s == "@")
-        signs += [i for i, c in enumerate(text) if c == "@"]
-        signs.sort()
-        near = {hi for _, hi, _ in found}
-        for m in words:
-            if m[1].lower() != "at":
-                i = bisect_right(signs, m.start()) - 1
-                gap = text[signs[i] : m.start()] if i >= 0 and m.start() - signs[i] <= 96 else None
-                if gap is not None and len(re.findall(r"\s+", gap)) <= 6 and m.end() not in near:
-                    found.append((m.start(), m.end(), "."))
+    found = [(m.start(), m.end(), sign(m[1]), True) for m in _BRACKET.finditer(text)]
+    found += [(m.start(), m.end(), "@", True) for m in _SPACED.finditer(text)]
+    found += [(m.start(), m.end(), sign(m[1]), False) for m in _WORDS.finditer(text)]
     out, end = [], 0
-    for lo, hi, new in sorted(found):
-        if lo >= end:
-            out.append((lo, hi, new))
-            end = hi
+    for x in sorted(found):
+        if x[0] >= end:
+            out.append(x)
+            end = x[1]
+    return out
+
+
+def _at_dot(text: str) -> list[tuple[int, int, str]]:
+    """Signs that only labels stand between are a chain of any length. A bare ``at`` counts where a dot
+    comes next in its chain, a bare ``dot`` where its chain has such an at sign or one in a label before it."""
+    out, signs, i = [], _signs(text), 0
+    while i < len(signs):
+        j, labels = i, []
+        while True:
+            m = _LABEL.match(text, signs[j][1])
+            labels.append(m[0])
+            j += 1
+            if j == len(signs) or m.end() != signs[j][0] or not m[0]:
+                break
+        chain, lo = signs[i:j], signs[i][0]
+        floor = signs[i - 1][1] if i else 0
+        while lo > floor and (text[lo - 1] in _LOCAL or text[lo - 1] == "@"):
+            lo -= 1
+        counts = [sure or (s == "@" and k + 1 < len(chain) and chain[k + 1][2] == "." and "@" not in labels[k]) for k, (_, _, s, sure) in enumerate(chain)]
+        at = any(c and x[2] == "@" for c, x in zip(counts, chain, strict=True))
+        before = "@" in text[lo : signs[i][0]]
+        for (a, b, s, _), counted, label in zip(chain, counts, labels, strict=True):
+            if counted or s == "." and (at or before):
+                out.append((a, b, s))
+            before = before or "@" in label
+        i = j
     return out
 
 
-_TRIGGER = re.compile(rf"(?i)[\[({{<]\s{{0,2}}(?:at|dot|@|\.)\s{{0,2}}[\])}}>]|\s@|@\s|\s(?:dot|punkt|point|punto)\s|\b(?:{_D})[ ,-]{{1,2}}(?:{_D})\b")
+_TRIGGER = re.compile(rf"(?i)[\[({{<]\s*+(?:at|dot|@|\.)\s*+[\])}}>]|\s@|@\s|\s(?:dot|punkt|point|punto)\s|\b(?:{_D})[\s,-]++(?:{_D})\b")
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that only the rewritten text shows, in source characters; none overlaps a base span of its kind."""
+    """Identifiers that only the rewritten text shows whole, in source characters; none lies within a base span of its kind."""
     glyphs = not text.isascii() and _NON_ASCII.search(text) is not None
     if not glyphs and not _TRIGGER.search(text):
         return []
@@ -172,13 +183,21 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         if pieces := step(now):
             layers.append(Rewritten(now, pieces))
             now = layers[-1].text
+    ends = [[e for k, _, e in base if k == kind] for kind in range(len(KINDS))]
+    starts = [[s for k, s, _ in base if k == kind] for kind in range(len(KINDS))]
+
+    def held(kind: int, lo: int, hi: int) -> bool:
+        """Whether a base span of the kind, which are in order, holds all of it."""
+        i = bisect_right(ends[kind], lo)
+        return i < len(ends[kind]) and starts[kind][i] <= lo and hi <= ends[kind][i]
+
     out = []
     for kind, lo, hi in base_spans(now) if layers else ():
         new = False
         for layer in reversed(layers):
             lo, hi, changed = layer.span(lo, hi)
             new |= changed
-        if new and not any(k == kind and lo < e and s < hi for k, s, e in base):
+        if new and not held(kind, lo, hi):
             out.append((kind, lo, hi))
     return out
 
@@ -214,6 +233,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_pii() of all documents: a row for every row; nulls, repeats and empty tables as there."""
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
