@@ -3,9 +3,10 @@
 Vectors are grouped by their nearest pivot. A group's summary (its size, its radius, the smallest
 distances to its pivot) bounds what any query can find in it: q.c <= q.p + |q| r, and a member at
 distance d has q.c >= q.p - |q| d. The k-th largest lower bound over all summaries is a floor for
-the k-th best score, and a query is sent only to the groups whose upper bound reaches it. Groups
-and query sets are cut into blocks of bounded size, so that a hot group is many tasks; each block
-is solved locally and the block results are merged.
+the k-th best score, and a query is sent only to the groups whose upper bound reaches it. Queries of
+near groups share a block; a candidate is copied to the blocks alone that have a query for its group
+which can reach its own distance. Groups and query sets are cut into parts of bounded size, so that a
+hot group is many tasks; each part is solved locally and the results are merged.
 """
 
 from __future__ import annotations
@@ -21,25 +22,28 @@ from pyspark.sql import functions as F
 from varloom.llm.common import cut, table
 
 K, SCALE = 5, 256.0
-#: Pivots and the bounded sample of vectors that they are placed by.
-PIVOTS, SAMPLE, ROUNDS = 48, 2000, 4
+#: Pivots: a quarter of the root of the number of vectors, within these; the bounded sample that they are placed by.
+PIVOTS, SAMPLE, ROUNDS = (48, 1024), 4096, 4
 #: Rows of a block of candidates or queries.
 BLOCK = 16_384
 MAX_LONG = 2**63 - 1
+#: Rows of the table of blocks and the groups that they reach that are broadcast; more are joined.
+BROADCAST_ROWS = 100_000
+
+
+def _valid(vector: str) -> Column:
+    """No null, and none that is NaN or infinite when scaled."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double") * SCALE) < float("inf")))
 
 
 def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id and floor(256 x) as the bytes of doubles; rows that take no part are left out."""
+    """vec_id and floor(256 x) as the bytes of doubles."""
     for b in batches:
-        ids, out = [], []
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if i is None or v is None or any(x is None for x in v):
-                continue
-            a = np.floor(SCALE * np.asarray(v, np.float64))
-            if np.isfinite(a).all():
-                ids.append(i)
-                out.append(a.tobytes())
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
+        lists = b.column(1)
+        flat = np.floor(SCALE * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).tobytes()
+        ends = (np.cumsum([0, *lists.value_lengths().to_pylist()]) * 8).tolist()
+        out = [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
 
 def _matrix(blobs: list[bytes], dim: int = 0) -> np.ndarray:
@@ -51,7 +55,7 @@ def _matrix(blobs: list[bytes], dim: int = 0) -> np.ndarray:
     return out
 
 
-def place_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+def place_pivots(sample: np.ndarray, n: int = PIVOTS[0]) -> np.ndarray:
     """Farthest-first centres, moved by a few rounds of means; the result doesn't depend on chance."""
     centres = [sample[0]] if len(sample) else []
     far = np.full(len(sample), np.inf)
@@ -68,9 +72,10 @@ def place_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-    near = d.argmin(axis=1)
-    return near, d[np.arange(len(x)), near]
+    """A nearest pivot, up to rounding, and the distance to it."""
+    half = (pivots**2).sum(axis=1) / 2
+    near = np.concatenate([np.empty(0, np.int64), *((x[i : i + 4096] @ pivots.T - half).argmax(axis=1) for i in range(0, len(x), 4096))])
+    return near, np.sqrt(((x - pivots[near]) ** 2).sum(axis=1))
 
 
 def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -109,47 +114,60 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_i
     are ignored. No rows give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).mapInArrow(_integers, "vec_id long, v binary")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    raw = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).where(F.col("vec_id").isNotNull() & _valid("embedding"))
+    sample = raw.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).mapInArrow(_integers, "vec_id long, v binary").collect()
     matrix = _matrix([bytes(r.v) for r in sample])
-    pivots, dim = place_pivots(matrix), matrix.shape[1]
+    dim, few = matrix.shape[1], round(math.sqrt(raw.count()) / 4)
+    pivots = place_pivots(matrix, max(PIVOTS[0], min(PIVOTS[1], few)))
     empty = "query_id long, rank int, vec_id long, score long"
     if not len(pivots):
         return spark.createDataFrame([], empty)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _integers(batches):
             x = _matrix([bytes(v) for v in b.column(1).to_pylist()], dim)
             p = np.zeros((len(pivots), x.shape[1]))
             p[:, :dim] = pivots
             near, d = _nearest(x, p)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d)], names=["vec_id", "v", "g", "d"])
 
-    placed = cut(rows.mapInArrow(assign, "vec_id long, v binary, g int, d double"))
-    nearest = Window.partitionBy("g").orderBy("d", "vec_id")
+    placed = cut(raw.mapInArrow(assign, "vec_id long, v binary, g int, d double"))
     sizes = {r.g: (r.n, r.r) for r in placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect()}  # a row a pivot
-    close = placed.select("g", "d", "vec_id").withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= k + 1).select("g", "d").collect()  # k + 1 a pivot
-    queries = placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    chunks = math.ceil(queries.count() / BLOCK)
+    # The smallest of each bucket first, so that a hot group isn't ranked in one task.
+    close = placed.select("g", "d", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("bucket"))
+    for over in (("g", "bucket"), ("g",)):
+        close = close.withColumn("i", F.row_number().over(Window.partitionBy(*over).orderBy("d", "vec_id"))).where(F.col("i") <= k + 1)
+    lower = np.array([[r.g, r.d] for r in close.select("g", "d").collect()])  # k + 1 a pivot
+    queries = placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "g")).alias("q")).select("vec_id", "q.v", "q.g")
+    asked = {r.g: r["count"] for r in queries.groupBy("g").count().collect()}  # a row a pivot
+    if not asked:
+        return spark.createDataFrame([], empty)
+    first, before = {}, 0
+    for g in sorted(asked, key=lambda g: tuple(pivots[g])):  # groups that are near in space are often near in this order
+        first[g] = (before // BLOCK, math.ceil(asked[g] / BLOCK))
+        before += asked[g]
     salts = {g: math.ceil(n / BLOCK) for g, (n, _) in sizes.items()}
-    lower = np.array([[r.g, r.d] for r in close])
+    groups = np.array(sorted(sizes))
+    radius = np.array([sizes[g][1] for g in groups])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, blobs = b.column(0).to_pylist(), [bytes(v) for v in b.column(1).to_pylist()]
-            q = _matrix(blobs, dim)
-            qp = q[:, :dim] @ pivots.T
-            norm = np.sqrt((q**2).sum(axis=1))
-            floor = qp[:, lower[:, 0].astype(int)] - norm[:, None] * lower[:, 1]
-            floor = np.sort(floor, axis=1)[:, -(k + 1)] if floor.shape[1] > k else np.full(len(q), -np.inf)  # one may be the query itself
-            slack = 1e-9 * (1 + np.abs(qp).max(initial=0) + norm * max(r for _, r in sizes.values()))
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for g, (_, r) in sizes.items():
-                for j in np.flatnonzero(qp[:, g] + norm * r + slack >= floor - slack):
-                    for s in range(salts[g]):
-                        for col, x in zip(out, (g, s, hash(ids[j]) % chunks, ids[j], blobs[j]), strict=True):
-                            col.append(x)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["g", "s", "c", "vec_id", "v"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids, blobs = part.column(0).to_pylist(), part.column(1)
+                q = _matrix([bytes(v) for v in blobs.to_pylist()], dim)
+                qp = q[:, :dim] @ pivots.T
+                norm = np.sqrt((q**2).sum(axis=1))
+                floor = qp[:, lower[:, 0].astype(int)] - norm[:, None] * lower[:, 1]
+                floor = np.partition(floor, floor.shape[1] - k - 1, axis=1)[:, -(k + 1)] if floor.shape[1] > k else np.full(len(q), -np.inf)  # one may be the query itself
+                slack = 1e-9 * (1 + np.abs(qp).max(initial=0) + norm * radius.max())
+                who, which = np.nonzero(qp[:, groups] + norm[:, None] * radius + slack[:, None] >= (floor - slack)[:, None])
+                g = groups[which]
+                with np.errstate(divide="ignore", invalid="ignore"):  # members nearer than that to their pivot are out of reach
+                    least = np.where(norm[who] > 0, (floor[who] - qp[who, g] - 2 * slack[who]) / norm[who], -np.inf)
+                homes = part.column(2).to_pylist()
+                block = np.array([first[h][0] + i % first[h][1] for i, h in zip(ids, homes, strict=True)], np.int32)
+                yield pa.record_batch([pa.array(g.astype(np.int32)), pa.array(block[who]), pa.array(np.array(ids, np.int64)[who]), blobs.take(pa.array(who)), pa.array(least)], names=["g", "c", "vec_id", "v", "least"])
 
     def local(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -159,17 +177,19 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_i
         a, b, c = solve(left["vec_id"].to_numpy(), q, right["vec_id"].to_numpy(), _matrix(cb, q.shape[1]), k)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
 
-    if not chunks:
-        return spark.createDataFrame([], empty)
-    sent = queries.mapInArrow(send, "g int, s int, c int, vec_id long, v binary")
-    salt = F.coalesce(*[F.when(F.col("g") == g, F.pmod(F.xxhash64("vec_id"), F.lit(n))) for g, n in salts.items()]).cast("int")
-    held = placed.select("g", salt.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"), "vec_id", "v")
-    blocks = sent.groupBy("g", "s", "c").cogroup(held.groupBy("g", "s", "c")).applyInArrow(local, "query_id long, vec_id long, score long")
+    sent = cut(queries.mapInArrow(send, "g int, c int, vec_id long, v binary, least double"))
+    reach = cut(sent.groupBy("g", "c").agg(F.min("least").alias("least")))
+    reach = F.broadcast(reach) if reach.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else reach
+    salt = lambda g: F.element_at(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]), g)
+    held = placed.join(reach, "g").where(F.col("d") >= F.col("least")).select("g", F.pmod(F.xxhash64("vec_id"), salt(F.col("g"))).cast("int").alias("s"), "c", "vec_id", "v")
+    asks = sent.select("g", F.explode(F.sequence(F.lit(0), salt(F.col("g")) - 1)).alias("s"), "c", "vec_id", "v")
+    blocks = asks.groupBy("g", "s", "c").cogroup(held.groupBy("g", "s", "c")).applyInArrow(local, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return blocks.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_join() of the vectors whose vec_id is divisible by 50 against all others; cases as there."""
     return knn_join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
