@@ -19,11 +19,12 @@ def test_escape_is_reversible_and_leaves_no_control_string(spark):
 
 def test_parts_become_placeholders(spark):
     part = "array<struct<type:string,text:string,ref:string,size:int>>"
-    rows = [(1, 0, "user", [("text", "see <|image|>", None, None), ("image", None, "a.png", None), ("audio", None, "b.wav", 4), None, ("video", "x", "y", 1)]), (1, 1, "assistant", [("text", "ok", None, None)]), (2, None, None, None)]
+    rows = [(1, 0, "user", [("text", "see <|image|>", None, None), ("image", None, "a.png", None), ("audio", None, "b.wav", 4), None, ("video", "x", "y", 1)]), (1, 1, "assistant", [("text", "ok", None, None)]), (2, None, None, None), (3, 0, "user", [("image", None, "p.png", None)]), (3, 1, "user", [("document", None, "q.pdf", 2), ("image", None, None, None)])]
     out = {r.conv_id: r for r in format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}")).collect()}
     assert out[1].formatted == "<|turn|>user<|text|>see \\l|image|><|image|><|audio|><|end|><|turn|>assistant<|text|>ok<|end|>"
     assert [(a.ordinal, a.type, a.ref, a.tokens) for a in out[1].attachments] == [(0, "image", "a.png", 256), (1, "audio", "b.wav", 100)]
     assert out[1].attachment_tokens == 356
+    assert [(a.ordinal, a.ref, a.tokens) for a in out[3].attachments] == [(0, "p.png", 256), (1, "q.pdf", 1040), (2, None, 256)]
     (s,) = out[1].loss_spans
     assert out[1].formatted[s.start : s.start + s.length] == "ok"
     assert out[2].formatted == "<|turn|><|text|><|end|>" and out[2].attachments == [] and out[2].loss_spans == []

@@ -52,7 +52,7 @@ def visit(parts: Column) -> tuple[Column, Column, Column]:
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, n_turns, formatted, loss_spans (start from 0, length; code
-    points), attachments, attachment_tokens, n_chars.
+    points), attachments (numbered by the conversation's placeholders), attachment_tokens, n_chars.
 
     Turns are ordered by turn (null first), then role and content (unescaped); repeated rows stay. A null role
     or content is empty. A null conv_id is a conversation of its own. Other columns are ignored.
@@ -70,7 +70,7 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.count(F.lit(1)).alias("n_turns"),
         F.array_join(F.transform(sort(F.struct("seq", "piece")), lambda x: x["piece"]), "").alias("formatted"),
         F.transform(sort(F.when(F.col("role") == loss_role, span)), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"),
-        F.flatten(F.transform(sort(F.struct("seq", "refs")), lambda x: x["refs"])).alias("attachments"),
+        F.transform(F.flatten(F.transform(sort(F.struct("seq", "refs")), lambda x: x["refs"])), lambda a, i: F.struct(i.alias("ordinal"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("attachments"),
         F.sum("tokens").alias("attachment_tokens"),
         F.sum("len").alias("n_chars"),
     )
