@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_varloom_checkpoints"
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """Collects the folders that cut() writes meanwhile, so that their owner can delete them."""
+    made: list[str] = []
+    _OWNERS.append(made)
+    try:
+        yield made
+    finally:
+        _OWNERS.remove(made)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: the lineage ends there, each
     row is computed once, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    for made in _OWNERS:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes what cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -69,4 +89,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         drop_cut(labels)
         labels = new
         if not moved:
+            drop_cut(links)
             return labels

@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,10 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, as a table of prefixes and as a hashed table of steps from prefix to prefix."""
 
-    def __init__(self, model: str = MODEL):
+    def __init__(self, model: str | bytes = MODEL):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(**{"model_file" if isinstance(model, str) else "model_proto": model})
         n = sp.get_piece_size()
         self.bytes_of: list[bytes] = [b""] * n
         self.id_of_byte, ids, ranks = [0] * 256, [], []
@@ -400,6 +401,12 @@ class _Search:
         return [(p[1], s, 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, s - threshold)))) for p, s in zip(paths, scores, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _pieces(model: bytes) -> Pieces:
+    """One for each worker."""
+    return Pieces(model)
+
+
 SCHEMA = "doc_id long, samples array<struct<ids:array<int>,log_prob:double,inclusion:double>>, round_trip boolean"
 _SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
 
@@ -411,11 +418,12 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
     with inclusion 1 (a set of segmentations with a share under 1e-12 of its node, below what doubles
     can tell from none, counts as empty). The seed is the row key (a null key is a key), so a repeated
     row has the same samples and a lost task draws the same again. Whole texts are read, of any length. Other
-    columns are ignored; no rows give no rows.
+    columns are ignored; no rows give no rows. The model is read by the driver and goes along with the tasks.
     """
+    proto = Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = _pieces(proto)
         names = ["doc_id", "samples", "round_trip"]
 
         def batch(ids: list, texts: list) -> pa.RecordBatch:
@@ -445,10 +453,10 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
 
 def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """Adds the text of a column of ids, in place of any column of that name; null ids give null."""
-    kept = rows.drop(out)
+    kept, proto = rows.drop(out), Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = _pieces(proto)
         for b in batches:
             texts = [None if x is None else pieces.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
@@ -457,14 +465,16 @@ def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: s
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document: the number, sizes and digests of its sampled segmentations, their scores, and whether they decode to the text."""
+    """A row for every row: the number, sizes and digests of its sampled segmentations, their scores, and
+    whether they decode to the text; nulls, repeats and empty tables as in encode_samples()."""
     rows = encode_samples(table(spark, sf_dir, "documents").select("doc_id", "text"))
     each = lambda f: F.transform("samples", f)
     return rows.select("doc_id", F.size("samples").cast("long").alias("n_samples"), each(lambda s: F.size(s["ids"]).cast("long")).alias("n_pieces"), each(lambda s: F.xxhash64(s["ids"])).alias("ids_hash"), each(lambda s: s["log_prob"]).alias("log_prob"), each(lambda s: s["inclusion"]).alias("inclusion"), "round_trip")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: doc_id and the sampled segmentations of each document."""
+    """The last stage: doc_id and the sampled segmentations of each row. Null and empty texts have none;
+    repeated rows stay and have the same; an empty table gives no rows."""
     return encode_samples(docs).select("doc_id", "samples")
 
 
