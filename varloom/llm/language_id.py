@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table, values
+from varloom.llm.common import released, table, values
 
 #: The bounded sample that a dictionary is fitted on: distinct texts of a language, the first characters of
 #: each, and languages (those with the most distinct texts, if there are more).
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], held_out: Column, key: st
             cols = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([rejected(*x) for x in got], pa.bool_())]
             yield pa.record_batch([b.column(0), b.column(1), *cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def is_held_out(key: str = "doc_id") -> Column:
@@ -127,7 +127,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([not rejected(*classify(t, by)) for t in values(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import connected_components, cut, drop_cut, values
+from varloom.llm.common import connected_components, cut, drop_cut, released, values
 from varloom.llm.simhash_dedup import near_links
 
 WORDS, THRESHOLD, SEED = 5, 0.8, 42
@@ -83,7 +83,7 @@ def _sets(size: int) -> Callable:
 
 def _common(texts: DataFrame, size: int) -> np.ndarray:
     sample = texts.sample(SAMPLE, SEED).select(F.lit(b"").alias("sid"), "text")
-    counts = sample.mapInArrow(_sets(size), "sid binary, g array<long>").select(F.explode("g").alias("h")).groupBy("h").count()
+    counts = sample.mapInArrow(released(_sets(size)), "sid binary, g array<long>").select(F.explode("g").alias("h")).groupBy("h").count()
     top = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
     return np.array(sorted(r.h for r in top), np.int64)
 
@@ -91,7 +91,7 @@ def _common(texts: DataFrame, size: int) -> np.ndarray:
 def _grouped(docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """doc_id, tid (of the text), group (the first (doc_id, tid) of the component) of every row."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    rows = cut(texts.mapInArrow(_prefixes(size, threshold, _common(texts, size)), "doc_id long, tid long, sid binary, n int, fp long, keys array<long>"))
+    rows = cut(texts.mapInArrow(released(_prefixes(size, threshold, _common(texts, size))), "doc_id long, tid long, sid binary, n int, fp long, keys array<long>"))
     fits = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
     held = rows.select(F.explode("keys").alias("key"), "sid", "n").groupBy("key").agg(F.collect_set(F.struct("sid", "n")).alias("of"))
     buckets = cut(held.where(F.size("of") > 1).withColumn("of", F.array_sort("of")))
@@ -107,7 +107,7 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, threshold: float)
         pairs = cut(pairs.distinct())
         asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first.select("sid", "tid"), "sid")
         held = texts.select("tid", "text").join(asked, "tid").dropDuplicates(["sid"]).select("sid", "text")
-        sets = cut(held.mapInArrow(_sets(size), "sid binary, g array<long>"))
+        sets = cut(held.mapInArrow(released(_sets(size)), "sid binary, g array<long>"))
         side = lambda c: sets.select(F.col("sid").alias(c), F.col("g").alias(f"{c}_g"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("a_g", "b_g")))
         out = cut(both.where(F.col("both") >= (F.size("a_g") + F.size("b_g") - F.col("both")) * F.lit(threshold) - 1e-9).select("a", "b"))

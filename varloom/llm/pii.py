@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table, values
+from varloom.llm.common import released, table, values
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's number, start, end
@@ -229,7 +229,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """A row for every row: counts of base identifiers, the digest of their spans, all spans, and
     how many of them the transducers added. Null and empty texts have none. Repeated rows stay,
     other columns are ignored, no rows give no rows. Offsets are code points, ends exclusive."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_find, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(_find), SCHEMA)
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm.common import table, values
+from varloom.llm.common import release, table, values
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, OFFSET, ALPHA = 2, 2.7, 1.0
 #: Characters of a group of texts (a longer text is a group), and bits of a drawn number.
-GROUP, BITS = 400_000, 36
+GROUP, BITS = 200_000, 36
 
 #: A literal U+2581 is kept apart from the one that stands for a space; no text holds a lone surrogate.
 SPACE, LITERAL = "▁", "\udc81"
@@ -401,12 +400,6 @@ class _Search:
         return [(p[1], s, 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, s - threshold)))) for p, s in zip(paths, scores, strict=True)]
 
 
-@lru_cache(maxsize=1)
-def _pieces(model: bytes) -> Pieces:
-    """One for each worker."""
-    return Pieces(model)
-
-
 SCHEMA = "doc_id long, samples array<struct<ids:array<int>,log_prob:double,inclusion:double>>, round_trip boolean"
 _SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
 
@@ -423,7 +416,7 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
     proto = Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(proto)
+        pieces = Pieces(proto)
         names = ["doc_id", "samples", "round_trip"]
 
         def batch(ids: list, texts: list) -> pa.RecordBatch:
@@ -447,6 +440,8 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
                     yield batch(ids, texts)
                     ids, texts, n = [], [], 0
             yield batch(ids, texts)
+            del b
+            release()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
@@ -456,7 +451,7 @@ def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: s
     kept, proto = rows.drop(out), Path(model).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(proto)
+        pieces = Pieces(proto)
         for b in batches:
             texts = [None if x is None else pieces.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import connected_components, cut, table, values
+from varloom.llm.common import connected_components, cut, released, table, values
 
 SHINGLE, SEED, RADIUS, FAN, LEAF = 3, 42, 2, 8, 24
 #: An upper node with more distinct fingerprints is split by 8-bit blocks of its other 32 bits, to 2**16 at most.
@@ -187,7 +187,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     give no id (null where a component has no other). Repeated rows stay. Other columns are
     ignored. No rows: no rows.
     """
-    rows = cut(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    rows = cut(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(_fingerprints), "doc_id long, fp long"))
     first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("own")))
     labels = connected_components(near_links(first.select("fp")))
     named = first.join(labels.withColumnRenamed("node", "fp"), "fp")
