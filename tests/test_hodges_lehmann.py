@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from varloom.plans.queries import hodges_lehmann_genes
+from varloom.plans.queries import hodges_lehmann
 
 
 def test_every_call_of_a_gene_counts(spark, tmp_path):
@@ -20,4 +20,4 @@ def test_every_call_of_a_gene_counts(spark, tmp_path):
         a.append(np.floor(p * t + 0.5))
         b.append(np.floor(p * d + 0.5))
     want = {g: np.median(np.subtract.outer(a, b)) if len(a) * len(b) <= 1_000_000 else np.median(a) - np.median(b) for g, (a, b) in by.items()}
-    assert {r.gene: r["shift"] for r in hodges_lehmann_genes(spark, str(tmp_path)).collect()} == want and len(by["D_T"][0]) == 1001
+    assert {r.gene: r["shift"] for r in hodges_lehmann(spark, str(tmp_path)).collect()} == want and len(by["D_T"][0]) == 1001

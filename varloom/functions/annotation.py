@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Severity of each consequence term, 4 the highest.
@@ -69,6 +69,18 @@ def impute(score: Column, method: str = "median", over: tuple[str, ...] = ()) ->
     return F.coalesce(score, {"median": F.median, "mean": F.avg}[method](score).over(Window.partitionBy(*over)), F.lit(NEUTRAL))
 
 
+def impute_columns(rows: DataFrame, how: dict[str, str], over: tuple[str, ...] = ()) -> DataFrame:
+    """impute() of several columns by one aggregation that is joined back: no group meets in one task."""
+    if unknown := set(how.values()) - {"median", "mean", "neutral"}:
+        raise ValueError(f"unknown imputation {sorted(unknown)}")
+    stats = {c: {"median": F.median, "mean": F.avg}[m](c) for c, m in how.items() if m != "neutral"}
+    if stats:
+        middle = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in over]).agg(*[x.alias(f"_of_{c}") for c, x in stats.items()])
+        rows = rows.join(middle, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in over], "left") if over else rows.crossJoin(middle)  # one row
+    filled = {c: F.coalesce(F.col(c), F.col(f"_of_{c}") if c in stats else F.lit(None), F.lit(NEUTRAL)) for c in how}
+    return rows.withColumns(filled).drop(*[f"_of_{c}" for c in stats], *[f"_by_{c}" for c in over])
+
+
 def reduce_vector(v: Column, how: str = "l2") -> Column:
     """One number of a vector: l2, l1, sum or mean."""
     total = lambda f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x.cast("double")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from statistics import NormalDist
 
 import pandas as pd
@@ -72,9 +74,15 @@ def correct(df: DataFrame, p: str, method: str, alpha: float = 0.05, out: str =
 
 
 def log_factorial(n: str) -> Column:
-    """Column of log k! for k = 0..n, to be bound once: one prefix sum over a sequence."""
-    steps = F.transform(F.sequence(F.lit(0), F.col(n)), lambda k: F.ln(F.greatest(k, F.lit(1)).cast("double")))
-    return F.aggregate(steps, F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("at")), lambda s, x: F.struct(F.array_append(s["out"], s["at"] + x).alias("out"), (s["at"] + x).alias("at")), lambda s: s["out"])
+    """Column of log k! for k = 0..n, to be bound once: the logarithms' running sum up to 15, Stirling's series above."""
+    first = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
+
+    def one(k: Column) -> Column:
+        x = F.greatest(k, F.lit(16)).cast("double")
+        series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+        return F.when(k < 16, F.get(first, k.cast("int"))).otherwise((x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + series)
+
+    return F.transform(F.sequence(F.lit(0), F.col(n)), one)
 
 
 def log_choose(table: Column, n: Column, k: Column) -> Column:
@@ -121,8 +129,6 @@ def alpha_threshold(alpha: float, tests: int, method: str = "fdr_bh") -> float:
 
 
 def n_for_effect(effect: float, sigma: float, alpha: float, power: float = 0.8) -> int:
-    import math
-
     return INT_MAX if effect <= 0 else math.ceil(((z_of(1 - alpha / 2) + z_of(power)) * sigma / effect) ** 2)
 
 
@@ -139,8 +145,6 @@ def mann_whitney_p(df: DataFrame, side: str = "two-sided") -> DataFrame:
     """Adds p_value to mann_whitney_u()'s rows: continuity-corrected normal tail, as the public libraries do."""
     @F.pandas_udf("double")
     def tail(u: pd.Series, n1: pd.Series, n0: pd.Series, tie: pd.Series) -> pd.Series:
-        import math
-
         out = []
         for x, a, b, t in zip(u, n1, n0, tie, strict=True):
             n = a + b
@@ -157,21 +161,24 @@ def mann_whitney_p(df: DataFrame, side: str = "two-sided") -> DataFrame:
 
 
 def ks_statistic(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Largest distance of the two groups' distribution functions."""
-    w = Window.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    one = lambda g: F.sum(F.when(F.col(group) == g, 1).otherwise(0))
-    steps = df.select(F.abs(one(1).over(w) / one(1).over(every) - one(0).over(w) / one(0).over(every)).alias("d"))
-    return steps.agg(F.max("d").alias("ks"))
+    """Largest distance of the two groups' distribution functions, over distinct values with their counts."""
+    w, every = Window.orderBy(value), Window.partitionBy()
+    one = lambda g: F.count_if(F.col(group) == g)
+    counts = df.groupBy(value).agg(one(1).alias("_a"), one(0).alias("_b"))
+    share = lambda c: F.sum(c).over(w) / F.sum(c).over(every)
+    return counts.select(F.abs(share("_a") - share("_b")).alias("d")).agg(F.max("d").alias("ks"))
 
 
 def hodges_lehmann(df: DataFrame, a: str, b: str, by: str, most: int = 1_000_000) -> DataFrame:
-    """Median of a - b over the pairs of a key's arrays, or the difference of medians beyond most pairs."""
-    sets = df.groupBy(by).agg(F.collect_list(a).alias("_a"), F.collect_list(b).alias("_b"))
-    med = lambda xs: F.aggregate(F.slice(F.array_sort(xs), F.floor((F.size(xs) + 1) / 2).cast("int"), F.when(F.size(xs) % 2 == 0, 2).otherwise(1)), F.lit(0.0), lambda s, x: s + x) / F.when(F.size(xs) % 2 == 0, 2).otherwise(1)
-    pairs = F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: x - y)))
-    few = sets.withColumn("_p", F.when(F.size("_a").cast("long") * F.size("_b") <= most, pairs))
-    return few.select(by, F.when(F.col("_p").isNotNull(), med(F.col("_p"))).otherwise(med(F.col("_a")) - med(F.col("_b"))).alias("shift"))
+    """Median of a - b over the pairs of a key's arrays, or the difference of medians beyond most pairs:
+    values are gathered for keys of that many pairs at most."""
+    sizes = df.groupBy(by).agg((F.count(a) * F.count(b)).alias("_pairs"), (F.median(a) - F.median(b)).alias("_far"))
+    small = df.join(sizes.where(F.col("_pairs") <= most).select(by), by, "left_semi").groupBy(by).agg(F.collect_list(a).alias("_a"), F.collect_list(b).alias("_b"))
+    pairs = F.array_sort(F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: x - y))))
+    n = F.size("_p")
+    middle = (F.get("_p", F.floor((n - 1) / 2).cast("int")) + F.get("_p", F.floor(n / 2).cast("int"))) / 2
+    near = small.select(by, pairs.alias("_p")).select(by, middle.alias("_near"))
+    return sizes.join(near, by, "left").select(by, F.coalesce("_near", "_far").alias("shift"))
 
 
 def percentile_interval(value: str, lo: float = 0.025, hi: float = 0.975) -> Column:

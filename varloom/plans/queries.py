@@ -99,7 +99,8 @@ def ploidy_dosage(spark, d):  # noqa: ANN001, ANN201
 
 @query("SELECT chrom, count(*) AS n, round(avg(1 - coalesce(sift, m)), 6) AS sift, round(avg(coalesce(polyphen, a)), 6) AS polyphen FROM (SELECT *, median(sift) OVER (PARTITION BY chrom) AS m, avg(polyphen) OVER (PARTITION BY chrom) AS a FROM calls) GROUP BY chrom")
 def imputed_scores(spark, d):  # noqa: ANN001, ANN201
-    c = calls(spark, d).select("chrom", (1 - an.impute(F.col("sift"), "median", ("chrom",))).alias("s"), an.impute(F.col("polyphen"), "mean", ("chrom",)).alias("p"))
+    c = an.impute_columns(calls(spark, d).select("chrom", "sift", "polyphen"), {"sift": "median", "polyphen": "mean"}, ("chrom",))
+    c = c.select("chrom", (1 - F.col("sift")).alias("s"), F.col("polyphen").alias("p"))
     return rounded(c.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("sift"), F.avg("p").alias("polyphen")))
 
 
@@ -373,14 +374,9 @@ def ks_statistic(spark, d):  # noqa: ANN001, ANN201
     return stats.ks_statistic(both, "x", "g").select(F.round("ks", 6).alias("ks"))
 
 
-@query("SELECT a.chrom, round(median(a.null_score - b.score), 6) AS shift FROM calls a JOIN calls b ON a.chrom = b.chrom WHERE a.gq = 100 AND a.variant_id % 10 = 0 AND b.gq = 100 AND b.variant_id % 10 = 0 GROUP BY a.chrom")
-def hodges_lehmann(spark, d):  # noqa: ANN001, ANN201
-    return rounded(stats.hodges_lehmann(calls(spark, d).where("gq = 100 and variant_id % 10 = 0"), "null_score", "score", "chrom"))
-
-
 @query("""SELECT gene, round(CASE WHEN n * n > 1000000 THEN null_median - score_median ELSE shift END, 6) AS shift FROM (SELECT gene, count(*) AS n, median(null_score) AS null_median, median(score) AS score_median FROM calls GROUP BY gene)
 LEFT JOIN (SELECT a.gene, median(a.null_score - b.score) AS shift FROM calls a JOIN calls b ON a.gene = b.gene WHERE a.gene IN (SELECT gene FROM calls GROUP BY gene HAVING count(*) <= 1000) GROUP BY a.gene) USING (gene)""")
-def hodges_lehmann_genes(spark, d):  # noqa: ANN001, ANN201
+def hodges_lehmann(spark, d):  # noqa: ANN001, ANN201
     """Every call of a gene; beyond 1,000,000 pairs the reference's difference of medians."""
     return rounded(stats.hodges_lehmann(calls(spark, d), "null_score", "score", "gene"))
 

@@ -47,8 +47,8 @@ def parse_calls(lines: DataFrame, samples: list[str], phenotypes: DataFrame, sex
     cells = cells.withColumn("sample_id", F.col("cell.n")).withColumn("gt", F.split(F.regexp_replace(F.coalesce(field("GT"), F.lit("")), r"\|", "/"), "/")).withColumn("gq", F.when(F.array_contains("format", "GQ"), field("GQ")).try_cast("double"))
     copies = F.size(F.filter("gt", lambda a: a == (F.col("alt_index") + 1).cast("string")))
     cells = cells.withColumn("copies", copies).where("copies > 0").where(F.col("gq").isNull() | (F.col("gq") >= min_gq))
-    rows = cells.join(F.broadcast(phenotypes.select("sample_id", "label")), "sample_id")
-    rows = rows.join(F.broadcast(sex.select("sample_id", "sex")), "sample_id", "left") if sex is not None else rows.withColumn("sex", F.lit(None).cast("string"))
+    rows = cells.join(phenotypes.select("sample_id", "label"), "sample_id")
+    rows = rows.join(sex.select("sample_id", "sex"), "sample_id", "left") if sex is not None else rows.withColumn("sex", F.lit(None).cast("string"))
     rows = rows.withColumn("dosage", genome.ploidy_dosage(F.col("copies"), F.col("chrom"), F.col("pos"), F.col("sex"), build)).where("dosage is not null")
     out = rows.select("sample_id", "label", "sex", "chrom", "pos", "ref", "alt", "gene", "consequence", "dosage", "sift", "polyphen")
     if most is not None:
