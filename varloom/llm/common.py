@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     if (master := spark.sparkContext.master).startswith("local") and not master.startswith("local-cluster"):
-        own = f"file://{tempfile.mkdtemp(prefix='varloom-')}"
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
+        return f"file://{_own()}"
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_varloom_checkpoints"
 
 
+@cache
+def _own() -> str:
+    """One folder a process; the setting itself can't be changed in a running session."""
+    return tempfile.mkdtemp(prefix="varloom-")
+
+
 _OWNERS: list[list[str]] = []
 
 
