@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table
+from varloom.llm.common import cut, drop_cut, table
 
 #: (verdict, rule): a host and a path prefix, as one string. A driver-side list, at most MAX_RULES.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -71,7 +71,7 @@ def path_templates(paths: DataFrame) -> DataFrame:
     segs = F.filter(F.split("path", "/", -1), lambda x: x != "")
     each = paths.select("host", "path", "n", F.posexplode_outer(segs).alias("depth", "seg"))
     seen = each.where("seg is not null").groupBy("host", "depth", "seg").agg(F.sum("n").alias("n"))
-    coarse = _joined(each, _kept(seen, "depth", "seg"), ["depth", "seg"], "host", "path")
+    coarse = cut(_joined(each, _kept(seen, "depth", "seg"), ["depth", "seg"], "host", "path"))
     sums = coarse.join(paths, ["host", "path"]).groupBy("host", "tokens").agg(F.sum("n").alias("n"))
     nodes = sums.select("host", "tokens", "n", F.posexplode_outer("tokens").alias("depth", "seg")).withColumn("prefix", _prefix("tokens", F.col("depth") + 1))
     held = nodes.where("seg <> '*'").groupBy("host", "prefix").agg(F.sum("n").alias("n"))
@@ -120,10 +120,12 @@ def judge_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules:
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count("ruled").alias("labelled"))
-    named = path_templates(paths)
-    sums = named.join(paths, ["host", "path"]).groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")])
-    told = named.join(judge_templates(sums), ["host", "template"])
+    paths = cut(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count("ruled").alias("labelled")))
+    named = cut(path_templates(paths))
+    sums = cut(named.join(paths, ["host", "path"]).groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")]))
+    told = cut(named.join(judge_templates(sums), ["host", "template"]))
+    for done in (paths, named, sums):
+        drop_cut(done)
     return rows.join(told, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"), "template")
 
 
