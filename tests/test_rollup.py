@@ -66,3 +66,29 @@ def test_scratch_is_in_a_folder_that_all_executors_share():
     assert scratch(Session("local[4]"), "x").startswith("file:///")
     for master in ("spark://x", "local-cluster[3,2,1000]"):
         assert scratch(Session(master, spark_sql_warehouse_dir="hdfs://n/w"), "x").startswith("hdfs://n/w/_varloom_scratch/x-")
+
+
+def test_pair_carriers_skip_ambiguous_samples(spark):
+    calls = spark.createDataFrame([(1, 10, "A"), (1, 20, "B"), (1, 20, "B"), (2, 10, "A"), (2, 20, "B"), (2, 30, "C"), (3, 10, "A"), (3, 20, "B"), (3, 30, "C"), (4, 30, "C")], "sample_id long, pos long, gene string")
+    pairs = spark.createDataFrame([(0, 10, "A", 20, "B"), (1, 10, "A", 30, "C"), (2, 10, "A", 99, "Z")], "pair int, pos1 long, gene1 string, pos2 long, gene2 string")
+    got = {r.pair: r.sample_id for r in rollup.pair_carriers(pairs, calls).collect()}
+    assert got == {0: 2, 1: 2, 2: None}
+
+
+def test_scores_are_standardised_or_refused(spark):
+    df = spark.createDataFrame([("1", 5, None, "g", "2.5", "x"), ("1", 6, None, None, "bad", "7")], "chromosome string, position long, gene_symbol string, gene_id string, mean_attribution string, rank string")
+    got = [(r.gene_symbol, r.variant_score, r.variant_rank) for r in rollup.standardise_scores(df).orderBy("position").collect()]
+    assert got == [("g", 2.5, None), (None, None, 7.0)]
+    for bad, score in ((df.drop("position"), None), (df.drop("gene_id", "gene_symbol"), None), (df.drop("mean_attribution"), None), (df, "other")):
+        with pytest.raises(ValueError):
+            rollup.standardise_scores(bad, score)
+
+
+def test_contigs_and_histories():
+    assert rollup.x_contig(["chr1", "chrX", "X"]) == "chrX" and rollup.x_contig(["1", "23"]) == "23"
+    assert rollup.check_history({"loss": [1, 2], "auc": [3, 4], "best": 1}) == {"loss": [1, 2], "auc": [3, 4]}
+    with pytest.raises(ValueError):
+        rollup.x_contig(["chr1", "Y"])
+    for bad in ({"a": [1], "b": [1, 2]}, {"a": []}, {"best": 1}):
+        with pytest.raises(ValueError):
+            rollup.check_history(bad)

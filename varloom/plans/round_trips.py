@@ -232,3 +232,62 @@ def build_lookup(spark, d):  # noqa: ANN001, ANN201
         one = v.groupBy(F.lit(build).alias("build"), F.lit(genome.build_name(build)).alias("name"), "chrom").agg(F.count_if(genome.in_par(F.col("pos"), F.col("chrom"), build)).alias("inside"))
         out = one if out is None else out.union(one)
     return out
+
+
+@query("""SELECT chrom AS chromosome, pos AS position, gene AS gene_symbol, round(CASE WHEN pos % 13 = 0 THEN NULL ELSE mean_score END, 6) AS variant_score, (CASE WHEN pos % 17 = 0 THEN NULL ELSE num_samples END)::DOUBLE AS variant_rank FROM v""")
+def standardised_scores(spark, d):  # noqa: ANN001, ANN201
+    v = ranked(spark, d).select(F.col("chrom").alias("chromosome"), F.col("pos").alias("position"), F.lit(None).cast("string").alias("gene_symbol"), F.col("gene").alias("gene_name"), F.when(F.col("pos") % 13 == 0, "n/a").otherwise(F.col("mean_score").cast("string")).alias("mean_attribution"), F.when(F.col("pos") % 17 == 0, "?").otherwise(F.col("num_samples").cast("string")).alias("rank"))
+    return rounded(rollup.standardise_scores(v).select("chromosome", "position", "gene_symbol", "variant_score", "variant_rank"))
+
+
+@query("SELECT chrom AS chromosome, pos AS position, round((mean_score - avg(mean_score) OVER (PARTITION BY chrom)) / coalesce(nullif(stddev_samp(mean_score) OVER (PARTITION BY chrom), 0), 1), 6) AS variant_score FROM v")
+def standardised_z_scores(spark, d):  # noqa: ANN001, ANN201
+    v = ranked(spark, d).select(F.col("chrom").alias("chromosome"), F.col("pos").alias("position"), "gene", F.col("mean_score").alias("mean_attribution"))
+    return rounded(rollup.standardise_scores(v, "z_attribution").select("chromosome", "position", "variant_score"))
+
+
+@query("""SELECT pair, arg_min(sample_id, n * 1000000000000 + sample_id) AS sample_id FROM (SELECT variant_id AS pair, pos AS pos1, gene AS gene1, lead(pos) OVER (ORDER BY variant_id) AS pos2, lead(gene) OVER (ORDER BY variant_id) AS gene2 FROM variants)
+LEFT JOIN (SELECT a.sample_id, a.pos AS pos1, a.gene AS gene1, b.pos AS pos2, b.gene AS gene2, n FROM (SELECT sample_id, pos, gene FROM calls GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT sample_id, pos, gene FROM calls GROUP BY ALL HAVING count(*) = 1) b ON a.sample_id = b.sample_id AND b.pos = a.pos + 1000 JOIN (SELECT sample_id, count(*) AS n FROM calls GROUP BY 1) c ON a.sample_id = c.sample_id) USING (pos1, gene1, pos2, gene2)
+WHERE pos2 IS NOT NULL GROUP BY pair""")
+def pair_carriers(spark, d):  # noqa: ANN001, ANN201
+    """Each part and the next by id; ids are dense in the driver's tables."""
+    v = variants(spark, d)
+    one = v.select(F.col("variant_id").alias("pair"), F.col("pos").alias("pos1"), F.col("gene").alias("gene1"))
+    two = v.select((F.col("variant_id") - 1).alias("pair"), F.col("pos").alias("pos2"), F.col("gene").alias("gene2"))
+    return rollup.pair_carriers(one.join(two, "pair"), calls(spark, d)).select("pair", "sample_id")
+
+
+_KIND = "CASE WHEN consequence IN ('stop_gained') THEN 'lof' WHEN contains(consequence, 'missense') THEN 'missense' WHEN contains(consequence, 'synonymous') THEN 'synonymous' ELSE 'other' END"
+
+
+@query(f"SELECT sample_id, gene, sum(dosage)::BIGINT AS total, {', '.join(f'sum(CASE WHEN k = {k!r} THEN dosage ELSE 0 END)::BIGINT AS {k}' for k in ('lof', 'missense', 'synonymous', 'other'))} FROM (SELECT *, {_KIND} AS k FROM calls) GROUP BY sample_id, gene")
+def consequence_matrices(spark, d):  # noqa: ANN001, ANN201
+    return rollup.consequence_matrices(calls(spark, d))
+
+
+@query("SELECT chrom, pos, num_samples, 'most' AS side FROM (SELECT * FROM v ORDER BY num_samples DESC, chrom, pos LIMIT 50) UNION ALL SELECT chrom, pos, num_samples, 'least' FROM (SELECT * FROM v ORDER BY num_samples, chrom, pos LIMIT 50)")
+def extremes(spark, d):  # noqa: ANN001, ANN201
+    v = ranked(spark, d).select("chrom", "pos", "num_samples")
+    return rollup.extremes(v, "num_samples", 50, "chrom", "pos").withColumn("side", F.lit("most")).union(rollup.extremes(v, "num_samples", 50, "chrom", "pos", largest=False).withColumn("side", F.lit("least")))
+
+
+@query("SELECT gene, n, dense_rank() OVER (ORDER BY n DESC)::INTEGER AS gene_rank FROM (SELECT gene, count(*) AS n FROM variants GROUP BY gene)")
+def dense_gene_rank(spark, d):  # noqa: ANN001, ANN201
+    return rollup.dense_gene_rank(variants(spark, d).groupBy("gene").agg(F.count(F.lit(1)).alias("n")), "n").select("gene", "n", "gene_rank")
+
+
+@query("SELECT variant_id, CASE WHEN variant_id % 7 = 0 THEN NULL ELSE -(variant_id % 50)::DOUBLE END AS worth FROM variants")
+def metric_order(spark, d):  # noqa: ANN001, ANN201
+    v = variants(spark, d).select("variant_id", F.when(F.col("variant_id") % 7 == 0, float("nan")).otherwise(F.col("variant_id") % 50).alias("auc"))
+    return v.select("variant_id", F.nullif(rollup.metric_order("auc", True), F.lit(float("inf"))).alias("worth"))
+
+
+@query("SELECT sample_id, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('42:' || sample_id || ':' || variant_id || ':' || score::BIGINT), score) AS r FROM calls) WHERE r <= 12")
+def bounded_subset(spark, d):  # noqa: ANN001, ANN201
+    c = calls(spark, d).withColumn("key", F.concat_ws(":", "variant_id", F.col("score").cast("long")))
+    return rollup.bounded_subset(c, 12, 42, "key").select("sample_id", "pos", "score")
+
+
+@query("SELECT round(0.01 * avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS penalty FROM embeddings", cohort=False)
+def sparsity_penalty(spark, d):  # noqa: ANN001, ANN201
+    return rounded(rollup.sparsity_penalty(read(spark, d, "embeddings"), "embedding", 0.01))
