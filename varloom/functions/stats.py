@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-
+from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions import ordered
+
 INT_MAX = 2**63 - 1
 
 
@@ -19,13 +22,12 @@ def _w(by: tuple[str, ...], *order: Column):  # noqa: ANN202
 
 def average_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
     """Ties share the mean of their places."""
-    order = F.desc(value) if descending else F.asc(value)
-    return df.withColumn(out, F.rank().over(_w(by, order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0))
+    return ordered.ranked(df, value, out, ordered.ahead(value, descending, False) + (F.col("_n") + 1) / F.lit(2.0), by)
 
 
-def min_rank(value: str, by: tuple[str, ...] = (), descending: bool = True) -> Column:
+def min_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
     """Ties share the first place; nulls come last."""
-    return F.rank().over(_w(by, F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)))
+    return ordered.ranked(df, value, out, ordered.ahead(value, descending) + 1, by)
 
 
 def position_rank(*order: Column, by: tuple[str, ...] = ()) -> Column:
@@ -34,38 +36,42 @@ def position_rank(*order: Column, by: tuple[str, ...] = ()) -> Column:
 
 def rank_quantile(df: DataFrame, value: str, out: str, key: str) -> DataFrame:
     """Share of the positive finite values at or below a row's; 0 for the other rows."""
+    df = ordered.written(df)
     ok = df.where((F.col(value) > 0) & ~F.isnan(value) & (F.col(value) < F.lit(float("inf"))))
-    q = ok.select(key, F.cume_dist().over(Window.orderBy(value)).alias(out))
-    return df.join(q, key, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    q = ordered.counted(ok, value).select(value, ((F.col("_n_before") + F.col("_n")) / F.col("_n_all")).alias(out))
+    return ordered.same(df, q, [value], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-def group_z(value: str, by: tuple[str, ...]) -> Column:
+def group_z(df: DataFrame, value: str, out: str, by: tuple[str, ...]) -> DataFrame:
     """z-score within a group by sample deviation; a zero or missing deviation counts as 1."""
-    w = Window.partitionBy(*by)
-    return (F.col(value) - F.avg(value).over(w)) / F.coalesce(F.nullif(F.stddev_samp(value).over(w), F.lit(0.0)), F.lit(1.0))
+    facts = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.coalesce(F.nullif(F.stddev_samp(value), F.lit(0.0)), F.lit(1.0)).alias("_std"))
+    return ordered.same(df, facts, list(by)).withColumn(out, (F.col(value) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
 
 
 def empirical_p(real: DataFrame, null: DataFrame, score: str, out: str = "p_value") -> DataFrame:
-    """(k + 1) / (N + 1) with k null scores at or above each real one. One sorted union with a
-    running count takes the place of comparing all pairs."""
-    both = real.withColumn("_null", F.lit(0)).unionByName(null.select(F.col(score), F.lit(1).alias("_null")), allowMissingColumns=True)
-    above = F.sum("_null").over(Window.orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_null").over(Window.partitionBy())
-    return both.withColumn(out, (above + 1) / (total + 1)).where("_null = 0").drop("_null")
+    """(k + 1) / (N + 1) with k null scores at or above each real one. Running counts over the distinct
+    scores of both take the place of comparing all pairs."""
+    both = real.select(score, F.lit(0).alias("_null")).union(null.select(score, F.lit(1)))
+    counts = ordered.running(ordered.written(both.groupBy(score).agg(F.sum("_null").alias("_null"))), score, ["_null"])
+    p = (F.col("_null_all") - F.col("_null_before") + 1) / (F.col("_null_all") + 1)
+    return ordered.same(real, counts.select(score, p.alias(out)), [score])
 
 
 def bh_fdr(df: DataFrame, p: str, out: str = "fdr", by: tuple[str, ...] = ()) -> DataFrame:
-    """Benjamini-Hochberg: p n / rank, made monotone from the largest p down, 1 at most."""
-    ranked = df.withColumn("_r", F.row_number().over(_w(by, F.asc(p)))).withColumn("_q", F.col(p) * F.count(p).over(Window.partitionBy(*by)) / F.col("_r"))
-    low = F.min("_q").over(_w(by, F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(out, F.least(F.lit(1.0), low)).drop("_r", "_q")
+    """Benjamini-Hochberg: p n / rank, made monotone from the largest p down, 1 at most. Null where p is."""
+    df = ordered.written(df)
+    c = ordered.counted(df.where(F.col(p).isNotNull()), p, by)
+    q = c.select(*by, p, (F.col(p) * F.col("_n_all") / (F.col("_n_before") + F.col("_n"))).alias("_q"))
+    low = ordered.lowest_from(q, p, "_q", "_low", by)
+    return ordered.same(df, low.select(*by, p, F.least(F.lit(1.0), "_low").alias(out)), [*by, p], "left")
 
 
 def correct(df: DataFrame, p: str, method: str, alpha: float = 0.05, out: str = "p_adjusted") -> DataFrame:
     if method == "none":
         df = df.withColumn(out, F.col(p))
     elif method == "bonferroni":
-        df = df.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.count(p).over(Window.partitionBy())))
+        tests = df.agg(F.count(p).alias("_tests"))  # one row
+        df = df.crossJoin(F.broadcast(tests)).withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_tests"))).drop("_tests")
     elif method == "fdr_bh":
         df = bh_fdr(df, p, out)
     else:
@@ -73,36 +79,47 @@ def correct(df: DataFrame, p: str, method: str, alpha: float = 0.05, out: str =
     return df.withColumn("reject", F.col(out) < alpha)
 
 
-def log_factorial(n: str) -> Column:
-    """Column of log k! for k = 0..n, to be bound once: the logarithms' running sum up to 15, Stirling's series above."""
-    first = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
 
-    def one(k: Column) -> Column:
-        x = F.greatest(k, F.lit(16)).cast("double")
-        series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
-        return F.when(k < 16, F.get(first, k.cast("int"))).otherwise((x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + series)
+def log_factorial_of(k: Column) -> Column:
+    """log k!: a table up to 15, Stirling's series above."""
+    first = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
 
-    return F.transform(F.sequence(F.lit(0), F.col(n)), one)
+    def series(x: Column) -> Column:
+        return (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
 
+    return F.when(k < 16, F.get(first, k.cast("int"))).otherwise(let(F.greatest(k, F.lit(16)).cast("double"), series))
 
-def log_choose(table: Column, n: Column, k: Column) -> Column:
-    at = lambda i: F.get(table, i.cast("int"))
-    return at(n) - at(k) - at(n - k)
+
+def log_factorial(n: str) -> Column:
+    """Column of log k! for k = 0..n, for few rows and small n; fisher() needs none."""
+    return F.transform(F.sequence(F.lit(0), F.col(n)), log_factorial_of)
 
 
-def fisher(table: Column, n11: Column, row: Column, col: Column, total: Column, side: str = "greater") -> Column:
-    """Fisher's exact p of a 2x2 table by its first cell and margins; table holds log factorials to total."""
+def fisher(table: Column | None, n11: Column, row: Column, col: Column, total: Column, side: str = "greater") -> Column:
+    """Fisher's exact p of a 2x2 table by its first cell and margins; log factorials come from
+    their series, or from a table to total."""
     if side not in ("greater", "less", "two-sided"):
         raise ValueError(f"unknown alternative {side!r}")
     lo, hi = F.greatest(F.lit(0).cast("long"), row + col - total), F.least(row, col)
-    pmf = lambda k: F.exp(log_choose(table, row, k) + log_choose(table, total - row, col - k) - log_choose(table, total, col))
+    at = log_factorial_of if table is None else lambda i: F.get(table, i.cast("int"))
+    margins = at(row) + at(total - row) + at(col) + at(total - col) - at(total)
     start, end = (n11, hi) if side == "greater" else (lo, n11) if side == "less" else (lo, hi)
-    seen = pmf(n11) * F.lit(1 + 1e-7)
-    term = (lambda k: F.when(pmf(k) <= seen, pmf(k)).otherwise(0.0)) if side == "two-sided" else pmf
-    return F.least(F.lit(1.0), F.when(start <= end, F.aggregate(F.sequence(start, end), F.lit(0.0), lambda s, k: s + term(k))).otherwise(0.0))
+
+    def tail(m: Column) -> Column:
+        pmf = lambda k: F.exp(m - at(k) - at(row - k) - at(col - k) - at(total - row - col + k))
+        total_of = lambda term: F.aggregate(F.sequence(start, end), F.lit(0.0), lambda s, k: s + term(k))
+        if side != "two-sided":
+            return total_of(pmf)
+        return let(pmf(n11) * F.lit(1 + 1e-7), lambda seen: total_of(lambda k: let(pmf(k), lambda x: F.when(x <= seen, x).otherwise(0.0))))
+
+    return F.least(F.lit(1.0), F.when(start <= end, let(margins, tail)).otherwise(0.0))
 
 
-def hypergeom_sf(table: Column, k: Column, drawn: Column, marked: Column, total: Column) -> Column:
+def hypergeom_sf(table: Column | None, k: Column, drawn: Column, marked: Column, total: Column) -> Column:
     """P(X >= k)."""
     return fisher(table, k, drawn, marked, total, "greater")
 
@@ -133,11 +150,13 @@ def n_for_effect(effect: float, sigma: float, alpha: float, power: float = 0.8)
 
 
 def mann_whitney_u(df: DataFrame, value: str, group: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """n1, n0, U of group 1, AUC and the tie term for each key; the p-value is a normal tail with tie correction."""
-    ranked = average_rank(df, value, "_r", by, descending=False)
-    ties = df.groupBy(*by, value).count().groupBy(*by).agg(F.sum(F.col("count") ** 3 - F.col("count")).alias("tie_term"))
-    sums = ranked.groupBy(*by).agg(F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"), F.sum(F.when(F.col(group) == 1, F.col("_r"))).alias("_s"))
-    out = (sums.join(ties, list(by)) if by else sums.crossJoin(ties)).withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)).drop("_s")
+    """n1, n0, U of group 1, AUC and the tie term for each key; the p-value is a normal tail with tie correction.
+    Ranks are of distinct values, so no group's rows meet."""
+    one = lambda g: F.count_if(F.col(group) == g)
+    c = ordered.running(ordered.written(df.groupBy(*by, value).agg(one(1).alias("_a"), one(0).alias("_b"), F.count(F.lit(1)).alias("_n"))), value, ["_n"], by)
+    rank = F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)
+    out = c.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n0"), F.sum(F.when(F.col("_a") > 0, F.col("_a") * rank)).alias("_s"), F.sum(F.col("_n") ** 3 - F.col("_n")).alias("tie_term"))
+    out = out.withColumn("u", F.col("_s") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)).drop("_s")
     return out.withColumn("auc", F.try_divide(F.col("u"), F.col("n1") * F.col("n0")))
 
 
@@ -162,10 +181,9 @@ def mann_whitney_p(df: DataFrame, side: str = "two-sided") -> DataFrame:
 
 def ks_statistic(df: DataFrame, value: str, group: str) -> DataFrame:
     """Largest distance of the two groups' distribution functions, over distinct values with their counts."""
-    w, every = Window.orderBy(value), Window.partitionBy()
     one = lambda g: F.count_if(F.col(group) == g)
-    counts = df.groupBy(value).agg(one(1).alias("_a"), one(0).alias("_b"))
-    share = lambda c: F.sum(c).over(w) / F.sum(c).over(every)
+    counts = ordered.running(ordered.written(df.groupBy(value).agg(one(1).alias("_a"), one(0).alias("_b"))), value, ["_a", "_b"])
+    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_all")
     return counts.select(F.abs(share("_a") - share("_b")).alias("d")).agg(F.max("d").alias("ks"))
 
 
@@ -181,6 +199,73 @@ def hodges_lehmann(df: DataFrame, a: str, b: str, by: str, most: int = 1_000_000
     return sizes.join(near, by, "left").select(by, F.coalesce("_near", "_far").alias("shift"))
 
 
+def middle_difference(a, b) -> float:  # noqa: ANN001
+    """Median of all a[i] - b[j], by selection in their sorted matrix: rows are cut between two bounds, and a
+    median of the rows' middles is the next guess, so the pairs are never built."""
+    a, b = np.sort(np.asarray(a, float)), np.sort(np.asarray(b, float))[::-1]  # rows a[i] - b ascend
+    n = len(a) * len(b)
+
+    def kth(k: int) -> float:
+        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), len(b), np.int64)
+        while True:
+            live = np.flatnonzero(hi > lo)
+            mid = (lo[live] + hi[live]) // 2
+            guess = a[live] - b[mid]
+            order = np.argsort(guess)
+            weight = np.cumsum((hi - lo)[live][order])
+            x = guess[order][np.searchsorted(weight, (weight[-1] + 1) // 2)]
+            below = np.array([np.searchsorted(v - b, x, "left") for v in a])
+            upto = np.array([np.searchsorted(v - b, x, "right") for v in a])
+            if below.sum() <= k < upto.sum():
+                return float(x)
+            if k < below.sum():
+                hi = np.minimum(hi, below)
+            else:
+                lo = np.maximum(lo, upto)
+
+    return (kth((n - 1) // 2) + kth(n // 2)) / 2
+
+
+def shifts(df: DataFrame, a: str, b: str, by: str, most: int = 1_000_000) -> DataFrame:
+    """(by, shift): median of b - a over a key's pairs, or the difference of medians beyond most pairs, so
+    that values are gathered for keys of few pairs only."""
+
+    @F.pandas_udf("double")
+    def middle(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([middle_difference(v, u) if len(u) and len(v) else None for u, v in zip(x, y, strict=True)], dtype=float)
+
+    sizes = df.groupBy(by).agg((F.count(a) * F.count(b)).alias("_pairs"), (F.median(b) - F.median(a)).alias("_far"))
+    small = df.join(sizes.where(F.col("_pairs") <= most).select(by), by, "left_semi").groupBy(by).agg(F.collect_list(F.col(a).cast("double")).alias("_a"), F.collect_list(F.col(b).cast("double")).alias("_b"))
+    return sizes.join(small.select(by, middle("_a", "_b").alias("_near")), by, "left").select(by, F.coalesce("_near", "_far").alias("shift"))
+
+
+def ks_p(d: float, n: int, m: int, exact: int = 4_000_000) -> float:
+    """Two-sided p of a Kolmogorov-Smirnov distance of n against m values: lattice paths that stay within the
+    distance, or Kolmogorov's series where n m is beyond exact."""
+    if not n or not m:
+        return 1.0
+    if n * m > exact:
+        x = d * math.sqrt(n * m / (n + m))
+        return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))) if x > 0.2 else 1.0
+    h = round(d * n * m)  # the distance is a whole number of steps of 1 / (n m)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    i = np.arange(n + 1)
+    for s in range(1, n + m + 1):  # a path's s-th step ends in i values of the first and s - i of the second
+        j = s - i
+        moved = np.concatenate([[0.0], inside[:-1]])
+        inside = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < h), (moved * i + inside * np.maximum(j, 0)) / s, 0.0)
+    return float(min(1.0, max(0.0, 1 - inside[n])))
+
+
+def with_ks_p(df: DataFrame, d: str, n: str, m: str, out: str = "p_value") -> DataFrame:
+    @F.pandas_udf("double")
+    def p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([ks_p(x, int(a), int(b)) for x, a, b in zip(d, n, m, strict=True)], dtype=float)
+
+    return df.withColumn(out, p(d, n, m))
+
+
 def percentile_interval(value: str, lo: float = 0.025, hi: float = 0.975) -> Column:
     return F.percentile(value, F.array(F.lit(lo), F.lit(hi)))
 

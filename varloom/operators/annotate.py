@@ -35,10 +35,10 @@ def enrichment(found: DataFrame, known: DataFrame, total: int) -> DataFrame:
     """Overlap of two gene tables against a universe of total genes: fold, hypergeometric p."""
     a, b = found.select("gene").distinct(), known.select("gene").distinct()
     n = a.agg(F.count(F.lit(1)).alias("n_found")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_known"))).crossJoin(a.join(b, "gene", "left_semi").agg(F.count(F.lit(1)).alias("overlap")))
-    n = n.withColumn("total", F.lit(total)).withColumn("_lf", stats.log_factorial("total"))
-    p = stats.hypergeom_sf(F.col("_lf"), F.col("overlap"), F.col("n_found"), F.col("n_known"), F.col("total").cast("long"))
+    n = n.withColumn("total", F.lit(total))
+    p = stats.hypergeom_sf(None, F.col("overlap"), F.col("n_found"), F.col("n_known"), F.col("total").cast("long"))
     fold = F.try_divide(F.col("overlap") * F.col("total").cast("double"), F.col("n_found") * F.col("n_known"))
-    return n.withColumn("fold", fold).withColumn("p_value", p).withColumn("enriched", (F.col("p_value") < 0.05) & (F.col("fold") > 1)).drop("_lf")
+    return n.withColumn("fold", fold).withColumn("p_value", p).withColumn("enriched", (F.col("p_value") < 0.05) & (F.col("fold") > 1))
 
 
 def term_enrichment(genes: DataFrame, terms: DataFrame, universe: DataFrame, smallest: int = 3, largest: int = 500) -> DataFrame:
@@ -51,10 +51,10 @@ def term_enrichment(genes: DataFrame, terms: DataFrame, universe: DataFrame, sma
     mine = genes.select("gene").distinct().join(u, "gene", "left_semi")
     sizes = t.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term").between(smallest, largest))
     hit = t.join(mine, "gene", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("overlap"))
-    totals = u.agg(F.count(F.lit(1)).cast("int").alias("total")).crossJoin(mine.agg(F.count(F.lit(1)).alias("n_genes"))).withColumn("_lf", stats.log_factorial("total"))
+    totals = u.agg(F.count(F.lit(1)).cast("int").alias("total")).crossJoin(mine.agg(F.count(F.lit(1)).alias("n_genes")))
     rows = sizes.join(hit, "term").crossJoin(F.broadcast(totals))
-    p = stats.hypergeom_sf(F.col("_lf"), F.col("overlap"), F.col("n_genes"), F.col("n_term"), F.col("total").cast("long"))
-    return stats.bh_fdr(rows.withColumn("p_value", p).drop("_lf"), "p_value", "fdr")
+    p = stats.hypergeom_sf(None, F.col("overlap"), F.col("n_genes"), F.col("n_term"), F.col("total").cast("long"))
+    return stats.bh_fdr(rows.withColumn("p_value", p), "p_value", "fdr")
 
 
 def validation_summary(variants: DataFrame, genes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions import stats
+from varloom.functions import ordered, stats
 from varloom.functions.annotation import consequence_class
 
 
@@ -135,20 +135,37 @@ def random_gene_sets(genes: DataFrame, size: int, sets: int, seed: int) -> DataF
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).select("perm", "gene")
 
 
-def bootstrap_weights(samples: DataFrame, reps: int, a: int = 1_000_003, b: int = 7_919, m: int = 2_147_483_647) -> DataFrame:
-    """(rep, sample_id, weight): draws with replacement as weights, by integer arithmetic, so any engine draws the same."""
+def weight_arrays(samples: DataFrame, reps: int, a: int = 1_000_003, b: int = 7_919, m: int = 2_147_483_647) -> DataFrame:
+    """(sample_id, weights): how often each of reps draws with replacement took a sample, as one array a
+    sample. Draws are integer arithmetic, so any engine draws the same; samples drawn never have no row."""
     n = samples.count()
-    index = samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).cast("long").alias("i"))
-    draws = index.sparkSession.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(index.select(F.col("i").alias("d"))))
+    index = ordered.place(samples.select("sample_id"), "i", "sample_id", descending=False).select("sample_id", (F.col("i") - 1).alias("i"))
     mixed = lambda x: ((x % m) * a + b) % m
-    drawn = draws.select("rep", (mixed(mixed(F.col("rep") * n + F.col("d") + 1)) % max(n, 1)).alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("weight"))
-    return drawn.join(index, "i").select("rep", "sample_id", "weight")
+    draws = samples.sparkSession.range(n).select(F.col("id").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("rep", F.col("rep").cast("long"))
+    drawn = draws.select("rep", (mixed(mixed(F.col("rep") * n + F.col("d") + 1)) % max(n, 1)).alias("i")).groupBy("i").agg(F.collect_list("rep").alias("_r"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda k: F.size(F.filter("_r", lambda r: r == k)).cast("long"))
+    return drawn.join(index, "i").select("sample_id", weights.alias("weights"))
 
 
-def bootstrap_ranks(calls: DataFrame, weights: DataFrame, score: str, key: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
+def bootstrap_weights(samples: DataFrame, reps: int) -> DataFrame:
+    """weight_arrays() as rows (rep, sample_id, weight) of samples that were drawn."""
+    w = weight_arrays(samples, reps).select("sample_id", F.posexplode("weights").alias("rep", "weight"))
+    return w.where("weight > 0").select(F.col("rep").cast("long").alias("rep"), "sample_id", "weight")
+
+
+def weighted_means(calls: DataFrame, weights: DataFrame, reps: int, score: str, key: tuple[str, ...]) -> DataFrame:
+    """(key, means): each replicate's weighted mean score, null where none of its samples has the key. All
+    replicates are summed in one pass, so calls are read once and not multiplied."""
+    rows = calls.where(F.col(score).isNotNull()).select("sample_id", *key, score).join(weights, "sample_id")
+    w = lambda r: F.get("weights", F.lit(r))
+    sums = rows.groupBy(*key).agg(*[F.sum(F.col(score) * w(r)).alias(f"_s{r}") for r in range(reps)], *[F.sum(w(r)).alias(f"_w{r}") for r in range(reps)])
+    return sums.select(*key, F.array(*[F.try_divide(f"_s{r}", f"_w{r}") for r in range(reps)]).alias("means"))
+
+
+def bootstrap_ranks(calls: DataFrame, weights: DataFrame, score: str, reps: int, key: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
     """(rep, key, rank): average rank of weighted mean scores within each replicate."""
-    means = calls.join(weights, "sample_id").groupBy("rep", *key).agg((F.sum(F.col(score) * F.col("weight")) / F.sum("weight")).alias("m"))
-    return stats.average_rank(means, "m", "rank", ("rep",)).select("rep", *key, "rank")
+    means = weighted_means(calls, weights, reps, score, key).select(*key, F.posexplode("means").alias("rep", "m")).where("m is not null")
+    return stats.average_rank(means.withColumn("rep", F.col("rep").cast("long")), "m", "rank", ("rep",)).select("rep", *key, "rank")
 
 
 def delta_rank(real: DataFrame, null_ranks: DataFrame, reps: int, universe: int, key: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
@@ -175,6 +192,44 @@ def topk_overlap(a: DataFrame, b: DataFrame, k: int, key: tuple[str, ...]) -> Da
     return left.intersect(right).agg(F.count(F.lit(1)).alias("n_both")).crossJoin(left.union(right).distinct().agg(F.count(F.lit(1)).alias("n_either")))
 
 
+def replicate_pools(real: DataFrame, null_ranks: DataFrame, tops: tuple[int, ...], n_real: int, n_null: int, key: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
+    """Per replicate and k of tops: keys in both top lists, and over the keys in either the KS distance of
+    their real ranks from their null ones. A key that one side lacks has the worst rank there. The top lists
+    bound what a replicate holds; all replicates are one grouped pass."""
+    k = F.explode(F.array(*map(F.lit, tops))).alias("k")
+    most = max(tops)
+    reps = null_ranks.select("rep").distinct()
+    head = real.where(F.col("rank") <= most).select(*key, F.col("rank").alias("rank_real"))
+    near = null_ranks.where(F.col("rank") <= most).select("rep", *key).union(reps.crossJoin(F.broadcast(head.select(*key))).select("rep", *key)).distinct()
+    rows = near.join(null_ranks.withColumnRenamed("rank", "rank_null"), ["rep", *key], "left").join(real.select(*key, F.col("rank").alias("rank_real")), list(key), "left")
+    rows = rows.select("rep", F.coalesce("rank_real", F.lit(n_real + 1.0)).cast("double").alias("x"), F.coalesce("rank_null", F.lit(n_null + 1.0)).cast("double").alias("y"), k).where("least(x, y) <= k")
+    both = rows.groupBy("rep", "k").agg(F.count_if((F.col("x") <= F.col("k")) & (F.col("y") <= F.col("k"))).alias("overlap"), F.count(F.lit(1)).alias("pool"))
+    ends = rows.select("rep", "k", F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("a")), F.struct(F.col("y").alias("v"), F.lit(-1).alias("a")))).alias("e"))
+    steps = ends.groupBy("rep", "k", "e.v").agg(F.sum("e.a").alias("a"))
+    w = Window.partitionBy("rep", "k").orderBy("v")
+    d = steps.withColumn("d", F.abs(F.sum("a").over(w))).groupBy("rep", "k").agg(F.max("d").alias("d"))
+    return both.join(d, ["rep", "k"]).select("rep", "k", "overlap", "pool", (F.col("d") / F.col("pool")).alias("ks"))
+
+
+def gene_bootstrap(variants: DataFrame, how: str = "max", least: int = 3) -> DataFrame:
+    """Per gene of variants (gene, rank_real, rank_null, delta_rank): numbers and median ranks, U, p and
+    Hodges-Lehmann shift of its real ranks against its null ones (real ranks lower), FDR over powered genes.
+    A variant that the null lacks has no null rank. Genes with under ``least`` ranks on a side are underpowered
+    and have no test."""
+    f = {"max": F.max, "mean": F.avg}
+    if how not in f:
+        raise ValueError(f"unknown aggregation {how!r}")
+    v = variants.where("gene is not null")
+    g = v.groupBy("gene").agg(F.count("rank_real").alias("n_variants_real"), F.count("rank_null").alias("n_variants_null"), F.median("rank_real").alias("median_rank_real"), F.median("rank_null").alias("median_rank_null"), f[how]("delta_rank").alias("gene_delta_rank"))
+    g = g.withColumn("underpowered", F.least("n_variants_real", "n_variants_null") < least)
+    able = v.join(g.where("not underpowered").select("gene"), "gene", "left_semi")
+    side = lambda c, k: able.where(F.col(c).isNotNull()).select("gene", F.col(c).cast("double").alias("x"), F.lit(k).alias("g"))
+    u = stats.mann_whitney_p(stats.mann_whitney_u(side("rank_real", 1).union(side("rank_null", 0)), "x", "g", ("gene",)), "less")
+    shift = stats.shifts(able, "rank_real", "rank_null", "gene").withColumnRenamed("shift", "effect_size_hodges_lehmann")
+    tested = stats.bh_fdr(u.select("gene", F.col("u").alias("wilcoxon_statistic"), F.col("p_value").alias("wilcoxon_p")).join(shift, "gene"), "wilcoxon_p", "fdr_gene_wilcoxon")
+    return g.join(tested, "gene", "left").withColumn("gene_delta_rank_aggregation", F.lit(how))
+
+
 def class_weight(samples: DataFrame) -> DataFrame:
     """n / (2 n_class) for each class; 1 where there is but one."""
     n = samples.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -193,7 +248,7 @@ def history_diagnostics(history: DataFrame) -> DataFrame:
 
 
 def best_runs(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("place", stats.position_rank(F.desc_nulls_last("auc"), F.desc_nulls_last("accuracy"), F.asc_nulls_last("loss"), F.asc("level"), F.asc("run")))
+    return ordered.place(runs, "place", "auc", F.desc_nulls_last("accuracy"), F.asc_nulls_last("loss"), F.asc("level"), F.asc("run"))
 
 
 def logistic_z(rows: DataFrame, by: str, features: list[str], label: str = "label") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.functions import stats
+from varloom.functions import ordered, stats
 from varloom.functions.annotation import maf_bin, maf_labels
 
 
@@ -17,7 +17,7 @@ def carriers(calls: DataFrame, key: tuple[str, ...] = ("chrom", "pos")) -> DataF
 
 def top_keys(index: DataFrame, k: int, key: tuple[str, ...]) -> DataFrame:
     """The k keys of most carriers, numbered; ties by key."""
-    return index.withColumn("i", stats.position_rank(F.desc("n_carriers"), *[F.asc(c) for c in key])).where(F.col("i") <= k)
+    return ordered.place(index, "i", "n_carriers", *[F.asc(c) for c in key]).where(F.col("i") <= k)
 
 
 def pair_counts(calls: DataFrame, chosen: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -68,11 +68,11 @@ def gene_interactions(calls: DataFrame, genes: DataFrame, side: str = "greater",
     listed = stats.rank_quantile(genes.select(F.col("gene").alias("gene_key"), "score"), "score", "q", "gene_key")
     chosen = listed.join(index.select("gene_key", "n_carriers"), "gene_key", "left").fillna(0, ["n_carriers"]).withColumn("i", stats.position_rank(F.asc("gene_key")))
     total = calls.select(F.count_distinct("sample_id").cast("int").alias("n"))
-    facts = F.broadcast(total.withColumn("lf", stats.log_factorial("n")))
+    facts = F.broadcast(total)  # one row
     keyed = calls.where("gene <> ''").withColumn("gene_key", F.col("gene"))
     part = lambda s, i: chosen.select(F.col("i").alias(i), F.col("gene_key").alias(f"gene_{s}"), F.col("q").alias(f"q_{s}"), F.col("n_carriers").alias(f"n_{s}"))
     p = pair_counts(keyed, chosen, ("gene_key",)).join(F.broadcast(part("a", "i")), "i").join(F.broadcast(part("b", "j")), "j").crossJoin(facts).where(F.col("n11") >= min_samples)
-    p = p.withColumn("p_value", stats.fisher(F.col("lf"), F.col("n11"), F.col("n_a"), F.col("n_b"), F.col("n").cast("long"), side)).withColumn("interaction_score", F.sqrt(F.col("q_a") * F.col("q_b")) * F.log1p(F.col("n11")))
+    p = p.withColumn("p_value", stats.fisher(None, F.col("n11"), F.col("n_a"), F.col("n_b"), F.col("n").cast("long"), side)).withColumn("interaction_score", F.sqrt(F.col("q_a") * F.col("q_b")) * F.log1p(F.col("n11")))
     return stats.correct(p.select("gene_a", "gene_b", F.col("n11").alias("n_cooccur"), F.col("n11_cases").alias("n_case"), "n_a", "n_b", "p_value", "interaction_score"), "p_value", correction, alpha)
 
 
@@ -91,18 +91,50 @@ def network_nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("gene").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
-def select_pairs(index: DataFrame, top: int, most: int, low_share: float, rare_below: int, seed: int) -> DataFrame:
-    """A budget of pairs: 90 % of it (by low_share) among the top carriers, the rest with a rare
-    variant, each drawn by the order of a seeded md5; repeated pairs count once."""
-    key = lambda a, b: F.md5(F.concat_ws(":", F.lit(str(seed)), a, b))
-    index = index.withColumn("v", F.concat_ws(":", "chrom", "pos"))
-    head = index.withColumn("i", stats.position_rank(F.desc("n_carriers"), F.asc("v"))).where(F.col("i") <= top)
-    pairs = head.alias("a").join(F.broadcast(head.alias("b")), F.col("a.i") < F.col("b.i")).select(F.col("a.v").alias("va"), F.col("b.v").alias("vb"))
-    common = pairs.orderBy(key(F.col("va"), F.col("vb")), "va", "vb").limit(most - int(most * low_share))
-    rare = index.where(F.col("n_carriers") < rare_below).withColumn("r", stats.position_rank(F.md5(F.concat(F.lit(f"{seed}:"), "v")), F.asc("v"))).where(F.col("r") <= top)
-    mixed = rare.crossJoin(F.broadcast(head.select(F.col("v").alias("w")))).where("v <> w").select(F.least("v", "w").alias("va"), F.greatest("v", "w").alias("vb"))
-    few = mixed.distinct().orderBy(key(F.col("va"), F.col("vb")), "va", "vb").limit(int(most * low_share))
-    return common.union(few).distinct()
+def drawn_numbers(spark: SparkSession, n: DataFrame, most: DataFrame, seed: int) -> DataFrame:
+    """(number): ``most`` distinct pair numbers of 0 .. n (n - 1) / 2 - 1, both from one-row tables, in the order
+    of a seeded walk that meets each number once: the multiples of a step that shares no factor with their
+    number, so nothing is enumerated but what is drawn. All numbers, where most is no less."""
+    facts = n.select("n").crossJoin(most.select("most")).withColumn("all", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    # seeded steps are tried for one without a common factor
+    gcd = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))), lambda s: s["a"])
+    tries = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda t: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), t.cast("string"))), 1, 7), 16, 10).cast("long"))
+    step = F.coalesce(F.get(F.filter(tries, lambda x: (x > 1) & (gcd(x, F.col("all")) == 1)), F.lit(0)), F.lit(1).cast("long"))
+    facts = facts.where("all > 0").withColumn("step", step).withColumn("start", tries[0] % F.col("all"))
+    rows = facts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.least("most", "all") - 1)))  # the budget's rows
+    return rows.where("most > 0").select(F.pmod(F.col("start") + F.col("at") % F.col("all") * F.col("step"), "all").alias("number"), "at", "n")
+
+
+def unranked(numbers: DataFrame) -> DataFrame:
+    """Pair numbers to places i < j from 1, in the order of combinations: (1, 2), (1, 3), ..."""
+    back = (F.col("n") * (F.col("n") - 1) / 2).cast("long") - 1 - F.col("number")  # counted from the last pair
+    root = F.floor((F.sqrt(8.0 * back + 1) - 1) / 2).cast("long")
+    fix = F.when((root + 1) * (root + 2) / 2 <= back, root + 1).when(root * (root + 1) / 2 > back, root - 1).otherwise(root)
+    return numbers.withColumn("_b", back).withColumn("_r", fix).select("at", (F.col("n") - 1 - F.col("_r")).alias("i"), (F.col("n") - (F.col("_b") - (F.col("_r") * (F.col("_r") + 1) / 2).cast("long"))).alias("j"))
+
+
+def select_pairs(index: DataFrame, top: int, most: int, rare_below: int, seed: int, key: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
+    """(part, place, key_a, key_b) of a budget of pairs: those of the ``top`` variants of most carriers, a tenth
+    of the budget (from 10 on) and what they leave free for pairs among rarer variants, of which ``top`` are
+    drawn by a seeded digest. Pairs are drawn by their numbers, so a budget of C(n, 2) costs no enumeration."""
+    spark = index.sparkSession
+    low = 0 if most < 10 else max(int(most * 0.1), 1)
+    placed = ordered.place(index.select(*key, "n_carriers"), "i", "n_carriers", *[F.asc(c) for c in key])
+    head = placed.where(F.col("i") <= top)
+    rare = placed.where((F.col("i") > top) & (F.col("n_carriers") < rare_below))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])), 1, 13), 16, 10).cast("long")
+    few = ordered.place(rare.drop("i").withColumn("_d", digest), "i", "_d", *[F.asc(c) for c in key], descending=False).where(F.col("i") <= top)
+    size = lambda t: t.agg(F.count(F.lit(1)).alias("n"))
+    every = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    common = size(head).select("n", F.lit(most - low).cast("long").alias("most"))
+    spare = common.select((F.lit(most) - F.least(every, F.col("most"))).cast("long").alias("most"))
+
+    def pairs(part: str, chosen: DataFrame, budget: DataFrame) -> DataFrame:
+        at = unranked(drawn_numbers(spark, size(chosen), budget, seed))
+        side = lambda s, i: chosen.select(F.col("i").alias(i), *[F.col(c).alias(f"{c}_{s}") for c in key])
+        return at.join(side("a", "i"), "i").join(side("b", "j"), "j").select(F.lit(part).alias("part"), F.col("at").alias("place"), *[f"{c}_{s}" for s in "ab" for c in key])
+
+    return pairs("top", head, common).union(pairs("rare", few, spare))
 
 
 def power_by_bin(pairs: DataFrame, sigma: float, alpha: float, threshold: float = 0.1) -> DataFrame:

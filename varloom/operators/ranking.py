@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions import stats
+from varloom.functions import ordered, stats
 from varloom.functions.genome import SEX_CHROMS
 
 KEY = ("chrom", "pos", "gene")
@@ -27,7 +27,7 @@ def rank_variants(calls: DataFrame, how: str = "mean", score: str = "score", key
         v = v.withColumn("score", F.col(f"{how}_score"))
     else:
         raise ValueError(f"unknown aggregation {how!r}")
-    return v.withColumn("rank", stats.min_rank("score", descending=how != "rank_average").cast("long"))
+    return stats.min_rank(v, "score", "rank", descending=how != "rank_average")
 
 
 def rank_genes(variants: DataFrame, how: str = "max") -> DataFrame:
@@ -55,16 +55,16 @@ def top_per_sample(calls: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def chromosome_z(variants: DataFrame, score: str = "mean_score", drop_sex: bool = False) -> DataFrame:
     """z within chromosomes and its rank; ranks are made anew where the sex chromosomes are dropped."""
-    v = variants.withColumn("z_score", stats.group_z(score, ("chrom",)))
+    v = stats.group_z(variants, score, "z_score", ("chrom",))
     v = v.where(~F.col("chrom").isin(*SEX_CHROMS)) if drop_sex else v
-    return v.withColumn("corrected_rank", stats.min_rank("z_score").cast("long"))
+    return stats.min_rank(v, "z_score", "corrected_rank")
 
 
 def corrected_genes(variants: DataFrame, significance: DataFrame | None = None) -> DataFrame:
     """Genes by the largest z of their variants; a significance table with gene is joined to them."""
     g = variants.where("gene is not null").groupBy("gene").agg(F.max("z_score").alias("gene_z"), F.avg("z_score").alias("mean_z"), F.count(F.lit(1)).alias("num_variants"), F.max_by("pos", F.struct("z_score", -F.col("pos"))).alias("top_pos"))
     g = g if significance is None else g.join(significance, "gene", "left")
-    return g.withColumn("gene_rank", stats.position_rank(F.desc("gene_z"), F.asc("gene")).cast("long"))
+    return ordered.place(g, "gene_rank", "gene_z", F.asc("gene"))
 
 
 def null_contrast(real: DataFrame, null: DataFrame, score: str = "score") -> DataFrame:
@@ -96,7 +96,7 @@ def gene_list(variants: DataFrame, score: str, how: str = "max", keep_sex: bool
     g = v.where("gene is not null").groupBy("gene").agg({"max": F.max, "mean": F.avg}[how](score).alias("gene_score"), F.count(F.lit(1)).alias("n_variants"), F.min_by("chrom", F.col("pos")).alias("chromosome"))
     if fdr is not None and max_fdr is not None:
         g = g.join(fdr.select("gene", "fdr"), "gene", "left").where(F.col("fdr") < max_fdr)
-    return g.withColumn("gene_rank", stats.position_rank(F.desc("gene_score"), F.asc("gene")).cast("long"))
+    return ordered.place(g, "gene_rank", "gene_score", F.asc("gene"))
 
 
 def gene_support(variants: DataFrame, significant: Column) -> DataFrame:
@@ -111,8 +111,8 @@ def select_genes(genes: DataFrame, support: DataFrame, top: int, min_score: floa
     g = g if allow_others else g.where(F.col("n_significant") >= min_significant)
     g = g.where("selection_score is not null")
     g = g.where(F.col("selection_score") >= min_score) if min_score > 0 else g
-    rank = stats.position_rank(F.desc("selection_score"), F.desc("n_significant"), F.desc("raw_score"), F.asc("gene"))
-    return g.withColumn("selected_rank", rank.cast("long")).where(F.col("selected_rank") <= top)
+    g = ordered.place(g, "selected_rank", "selection_score", F.desc("n_significant"), F.desc("raw_score"), F.asc("gene"))
+    return g.where(F.col("selected_rank") <= top)
 
 
 def level_jaccard(levels: DataFrame, tops: tuple[int, ...]) -> DataFrame:

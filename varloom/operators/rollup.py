@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions import ordered
 from varloom.functions.annotation import consequence_class, sex_covariate
 
 #: The share of genes without variants from which two files can't be of one run.
@@ -114,7 +115,7 @@ def extremes(rows: DataFrame, column: str, k: int, *ties: str, largest: bool = T
 def dense_gene_rank(genes: DataFrame, score: str) -> DataFrame:
     """gene_rank where a table has none: 1 for the best score, without gaps. Ranks are of distinct scores."""
     levels = genes.select(score).where(F.col(score).isNotNull()).distinct()
-    return genes.join(levels.withColumn("gene_rank", F.row_number().over(Window.orderBy(F.desc(score)))), score, "left")
+    return genes.join(ordered.ranked(levels, score, "gene_rank", (ordered.ahead(score, True) + 1).cast("int")), score, "left")
 
 
 def metric_order(column: str, maximise: bool) -> Column:

@@ -168,6 +168,25 @@ def cooccurrence_summary(spark, d):  # noqa: ANN001, ANN201
     return rounded(pairs.cooccurrence_summary(_cooc(spark, d)))
 
 
+_TRY = "list_transform(range(1, 65), lambda t: ('0x' || md5('42:' || t)[1:7])::BIGINT)"
+
+
+def _drawn(chosen: str, most: str) -> str:
+    """SQL of the pairs whose numbers a seeded walk draws, by listing all pairs in order."""
+    return f"""(SELECT a.chrom AS chrom_a, a.pos AS pos_a, b.chrom AS chrom_b, b.pos AS pos_b, place FROM
+  (SELECT x.i, y.i AS j, row_number() OVER (ORDER BY x.i, y.i) - 1 AS number FROM {chosen} x JOIN {chosen} y ON x.i < y.i) p
+  JOIN (SELECT nth AS place, (start + nth * step) % every AS number FROM (SELECT every, unnest(range(least({most}, every))) AS nth, {_TRY}[1] % every AS start, coalesce(list_filter({_TRY}, lambda x: x > 1 AND gcd(x, every) = 1)[1], 1) AS step FROM (SELECT count(*) * (count(*) - 1) // 2 AS every FROM {chosen}) WHERE every > 0)) USING (number)
+  JOIN {chosen} a ON a.i = p.i JOIN {chosen} b ON b.i = p.j)"""
+
+
+@query(f""", pl AS (SELECT chrom, pos, n_carriers, row_number() OVER (ORDER BY n_carriers DESC, chrom, pos) AS i FROM ({_CARRY})), hd AS (SELECT * FROM pl WHERE i <= 80),
+fw AS (SELECT chrom, pos, k AS i FROM (SELECT chrom, pos, row_number() OVER (ORDER BY ('0x' || md5('42:' || chrom || ':' || pos)[1:13])::BIGINT, chrom, pos) AS k FROM pl WHERE i > 80 AND n_carriers < (SELECT 0.05 * count(*) FROM samples)) WHERE k <= 80)
+SELECT 'top' AS part, * FROM {_drawn("hd", "1800")} UNION ALL SELECT 'rare', * FROM {_drawn("fw", "(SELECT 2000 - least(1800, count(*) * (count(*) - 1) // 2) FROM hd)")}""")
+def selected_pairs(spark, d):  # noqa: ANN001, ANN201
+    n = samples(spark, d).count()
+    return pairs.select_pairs(pairs.carriers(calls(spark, d)), 80, 2000, 0.05 * n, 42)
+
+
 _Z = {q: stats.z_of(q) for q in (0.975, 0.8)}
 
 
@@ -421,9 +440,13 @@ def bootstrap_weights(spark, d):  # noqa: ANN001, ANN201
     return co.bootstrap_weights(samples(spark, d), 20)
 
 
+def _null_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return co.bootstrap_ranks(calls(spark, d), co.weight_arrays(samples(spark, d), 20), "null_score", 20)
+
+
 def _delta(spark: SparkSession, d: str) -> DataFrame:
     real = ranked(spark, d).select("chrom", "pos", "gene", F.col("rank").cast("long").alias("rank"))
-    null = co.bootstrap_ranks(calls(spark, d), co.bootstrap_weights(samples(spark, d), 20), "null_score")
+    null = _null_ranks(spark, d)
     return co.delta_rank(real, null, 20, real.count()).join(real.select("chrom", "pos", "gene"), ["chrom", "pos"])
 
 
@@ -437,6 +460,39 @@ def gene_delta_rank(spark, d):  # noqa: ANN001, ANN201
     return rounded(co.gene_delta(_delta(spark, d)))
 
 
+@query(f""", {_BOOT}, u AS (SELECT rep, k, coalesce(r.rank, (SELECT count(*) FROM v) + 1.0)::DOUBLE AS x, coalesce(y, (SELECT count(*) FROM v) + 1.0)::DOUBLE AS y FROM
+  (SELECT rep, chrom, pos, rank AS y FROM br UNION ALL SELECT rep, chrom, pos, NULL FROM (SELECT * FROM rr, (SELECT unnest(range(20)) AS rep)) z WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.rep = z.rep AND br.chrom = z.chrom AND br.pos = z.pos)) n LEFT JOIN (SELECT chrom, pos, rank_real AS rank FROM rr) r USING (chrom, pos), (SELECT unnest([50, 200]) AS k)),
+pool AS (SELECT * FROM u WHERE least(x, y) <= k), cut AS (SELECT DISTINCT rep, k, unnest([x, y]) AS t FROM pool),
+dist AS (SELECT rep, k, t, abs(count(*) FILTER (WHERE x <= t) - count(*) FILTER (WHERE y <= t)) AS d FROM cut JOIN pool USING (rep, k) GROUP BY rep, k, t)
+SELECT rep, k, (SELECT count(*) FROM pool p WHERE p.rep = dist.rep AND p.k = dist.k AND x <= k AND y <= k) AS overlap, (SELECT count(*) FROM pool p WHERE p.rep = dist.rep AND p.k = dist.k) AS pool,
+  round(max(d)::DOUBLE / (SELECT count(*) FROM pool p WHERE p.rep = dist.rep AND p.k = dist.k), 6) AS ks FROM dist GROUP BY rep, k""")
+def replicate_pools(spark, d):  # noqa: ANN001, ANN201
+    real = ranked(spark, d).select("chrom", "pos", F.col("rank").cast("double").alias("rank"))
+    n = real.count()
+    return rounded(co.replicate_pools(real, _null_ranks(spark, d), (50, 200), n, n))
+
+
+_ERFC = "(SELECT 1 - sign({x}) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-12)) - {x} * {x} - lgamma(k + 1.5)))))"
+_TAIL = _ERFC.format(x="least(x, 6)")
+_GENE_BOOT = """nm AS (SELECT chrom, pos, avg(null_score) AS m FROM calls GROUP BY chrom, pos), nr AS (SELECT chrom, pos, rank() OVER (ORDER BY m DESC) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE AS rank_null FROM nm),
+gv AS (SELECT gene, (rank() OVER (ORDER BY mean_score DESC))::DOUBLE AS rank_real, CASE WHEN pos % 11 <> 0 THEN rank_null END AS rank_null, rank_null - rank() OVER (ORDER BY mean_score DESC) AS delta FROM v JOIN nr USING (chrom, pos)),
+gs AS (SELECT gene, count(rank_real) AS n1, count(rank_null) AS n0, median(rank_real) AS mr, median(rank_null) AS mn, max(delta) AS gd FROM gv GROUP BY gene),
+st AS (SELECT gene, g, rank() OVER (PARTITION BY gene ORDER BY x) + (count(*) OVER (PARTITION BY gene, x) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY gene, x) AS t FROM (SELECT gene, rank_real AS x, 1 AS g FROM gv UNION ALL SELECT gene, rank_null, 0 FROM gv WHERE rank_null IS NOT NULL) SEMI JOIN (SELECT gene FROM gs WHERE least(n1, n0) >= 9) USING (gene)),
+us AS (SELECT gene, count(*) FILTER (WHERE g = 1) AS a, count(*) FILTER (WHERE g = 0) AS b, sum(r) FILTER (WHERE g = 1) - a * (a + 1) / 2.0 AS u, sum(t * t - 1) AS tie FROM st GROUP BY gene),
+xs AS (SELECT gene, u, (a * b / 2.0 - u - 0.5) / sqrt(a * b / 12.0 * ((a + b + 1) - tie / ((a + b) * (a + b - 1.0)))) / sqrt(2.0) AS x FROM us)"""
+
+
+@query(f""", {_GENE_BOOT}, ps AS (SELECT gene, u, least(1, {_TAIL} / 2) AS p FROM xs), hs AS (SELECT a.gene, median(b.rank_null - a.rank_real) AS h FROM gv a JOIN gv b ON a.gene = b.gene GROUP BY a.gene),
+bs AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM ps), fs AS (SELECT *, least(1, min(q) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS fdr FROM bs)
+SELECT gene, n1 AS n_variants_real, n0 AS n_variants_null, mr AS median_rank_real, mn AS median_rank_null, gd AS gene_delta_rank, least(n1, n0) < 9 AS underpowered, u AS wilcoxon_statistic, round(p, 6) AS wilcoxon_p, CASE WHEN u IS NOT NULL THEN h END AS effect_size_hodges_lehmann, round(fdr, 6) AS fdr_gene_wilcoxon, 'max' AS gene_delta_rank_aggregation FROM gs LEFT JOIN fs USING (gene) LEFT JOIN hs USING (gene)""")
+def gene_bootstrap(spark, d):  # noqa: ANN001, ANN201
+    """Every eleventh position has no null rank; groups of nine and more take the normal tail on both sides."""
+    null = stats.average_rank(_means(spark, d, "null_score"), "score", "rank_null").select("chrom", "pos", "rank_null")
+    v = ranked(spark, d).select("chrom", "pos", "gene", F.col("rank").cast("double").alias("rank_real")).join(null, ["chrom", "pos"])
+    v = v.withColumn("delta_rank", F.col("rank_null") - F.col("rank_real")).withColumn("rank_null", F.when(F.col("pos") % 11 != 0, F.col("rank_null")))
+    return rounded(co.gene_bootstrap(v, "max", 9))
+
+
 @query("SELECT count(*) FILTER (WHERE a <= 100 AND b <= 100) AS n_both, count(*) FILTER (WHERE a <= 100 OR b <= 100) AS n_either FROM (SELECT rank() OVER (ORDER BY mean_score DESC) AS a, rank() OVER (ORDER BY max_score DESC) AS b FROM v)")
 def topk_overlap(spark, d):  # noqa: ANN001, ANN201
     return co.topk_overlap(ranked(spark, d), ranked(spark, d, "max"), 100, ("chrom", "pos"))

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varloom.functions import ordered
 from varloom.functions.genome import normalise_chrom
 
 #: Names under which a column may come, the first present wins; any case.
@@ -80,7 +81,7 @@ def rankings(spark: SparkSession, path: str, score: str | None = None) -> DataFr
     name = F.coalesce(*([F.nullif(F.col(given), F.lit(""))] if given else []), F.when(F.lit(bool(chrom and pos)) & (F.col(chrom or rows.columns[0]).isNotNull()), built))
     worst = F.lit(float("inf") if up else float("-inf"))
     out = rows.select(name.alias("variant"), F.coalesce(F.col(score).try_cast("double"), worst).alias("score")).where("variant is not null")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.asc("score") if up else F.desc("score"), "variant")))
+    return ordered.place(out, "rank", "score", F.asc("variant"), descending=not up).withColumn("rank", F.col("rank").cast("int")).orderBy("rank")
 
 
 def ranking_levels(spark: SparkSession, paths: dict[str, str], score: str | None = None) -> DataFrame:
@@ -137,7 +138,7 @@ def gene_rankings(spark: SparkSession, path: str, score: str | None = None) -> D
     named = rows.select(F.col(gene).alias("gene"), F.col(s).try_cast("double").alias("score"), (F.col(fdr).try_cast("double") if fdr else F.lit(None).cast("double")).alias("fdr")).dropna(subset=["gene", "score"])
     order = F.asc("score") if up else F.desc("score")
     once = named.withColumn("_n", F.row_number().over(Window.partitionBy("gene").orderBy(order))).where("_n = 1").drop("_n")
-    return once.withColumn("rank", F.row_number().over(Window.orderBy(order, "gene")))
+    return ordered.place(once, "rank", "score", F.asc("gene"), descending=not up).withColumn("rank", F.col("rank").cast("int")).orderBy("rank")
 
 
 def null_attributions(rows: DataFrame, drop_sex: bool = False) -> DataFrame:
