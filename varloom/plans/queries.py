@@ -382,7 +382,7 @@ def mann_whitney_u(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def mann_whitney_p(spark, d):  # noqa: ANN001, ANN201
-    return stats.mann_whitney_p(mann_whitney_u(spark, d), "greater")
+    return stats.mann_whitney_p(mann_whitney_u(spark, d), "greater").withColumn("p_value", F.round("p_value", 6))
 
 
 @query(""", s AS (SELECT score AS x, 1 AS g FROM calls UNION ALL SELECT null_score, 0 FROM calls),
@@ -691,3 +691,7 @@ def windowed_events(spark, d):  # noqa: ANN001, ANN201
 
 
 SQL["windowed_events"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+_X = "(u - n1 * n0 / 2.0 - 0.5) / sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - tie_term / ((n1 + n0) * (n1 + n0 - 1.0)))) / sqrt(2.0)"
+SQL["mann_whitney_p"] = f"SELECT chrom, n1, n0, tie_term, u, auc, round(least(1, {_TAIL} / 2), 6) AS p_value FROM (SELECT *, {_X} AS x FROM ({SQL['mann_whitney_u']}))"
