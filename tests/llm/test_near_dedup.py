@@ -60,3 +60,13 @@ def test_the_pipeline_removes_near_copies(spark):
     near = [*words[:40], "x", *words[41:120], "y", *words[121:]]
     docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars int")
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()] == [1]
+
+
+def test_copies_of_a_row_without_an_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (2, text), (3, text), (None, "alone"), (None, "pair of rows"), (None, "pair of rows")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in near_groups(docs).collect()), key=str)
+    assert got == sorted([(None, 2), (2, 2), (3, 2), (None, None), (None, None), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in stage(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(None, text), (2, text), (None, "alone"), (None, "pair of rows"), (None, "pair of rows")], key=str)

@@ -95,7 +95,8 @@ def _grouped(docs: DataFrame, key: str, text: str, size: int, threshold: float)
     fits = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
     held = rows.select(F.explode("keys").alias("key"), "sid", "n").groupBy("key").agg(F.collect_set(F.struct("sid", "n")).alias("of"))
     buckets = cut(held.where(F.size("of") > 1).withColumn("of", F.array_sort("of")))
-    first = rows.groupBy("sid").agg(F.min(F.struct("doc_id", "tid")).alias("own"), F.min("tid").alias("tid"))
+    row = F.struct("doc_id", "tid")  # rows with an id go before those without
+    first = rows.groupBy("sid").agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row)).alias("own"), F.min("tid").alias("tid"))
 
     def shared(met: DataFrame) -> DataFrame:
         """Pairs of (a, b, an, bn) rows, one for each key that both share, that can reach the threshold."""
