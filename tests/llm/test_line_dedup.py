@@ -1,5 +1,7 @@
 import random
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from varloom.llm import line_dedup
@@ -67,20 +69,31 @@ def slow(docs):
     for d, text in docs:
         cells[d, text] = [(p, x.strip(" \t\r")) for p, x in enumerate((text or "").split("\n")) if x.strip(" \t\r")]
     lines = sorted({x for c in cells.values() for _, x in c})
-    top, links = {x: x for x in lines}, dict.fromkeys(lines, 0)
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
+    links, close, first = dict.fromkeys(lines, 0), {x: set() for x in lines}, {}
+    for (d, _), c in cells.items():
+        for p, x in c:
+            at = (d is not None, d or 0, p)
+            first[x] = min(at, first.get(x, at))
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a), len(b)) >= MIN_CHARS and abs(len(a) - len(b)) <= EDITS and distance(a, b) <= EDITS:
-                top[find(a)] = find(b)
+            n = distance(a, b) if min(len(a), len(b)) >= MIN_CHARS and abs(len(a) - len(b)) <= EDITS else EDITS + 1
+            if n <= EDITS:
                 links[a] += 1
                 links[b] += 1
-    return cells, find, links
+                if 10 * n <= min(len(a), len(b)):
+                    close[a].add(b)
+                    close[b].add(a)
+
+    def hashed(x):
+        n = xxhash.xxh64_intdigest(x, seed=42)
+        return n - (1 << 64) if n >> 63 else n
+
+    stays = {x for x in lines if all(first[x] < first[y] for y in close[x])}
+    for x in sorted(set(lines) - stays, key=hashed):
+        if not close[x] & stays:
+            stays.add(x)
+    rule = {x: x if x in stays else min(close[x] & stays, key=first.get) for x in lines}
+    return cells, rule.get, links
 
 
 def make():
@@ -140,3 +153,19 @@ def test_stage_with_clashing_names_and_repeated_ids(spark):
     first = min((1, t) for _, t, *_ in docs)
     assert df.columns == stage(spark, df, "").columns
     assert sorted(x[1:] for x in got) in (sorted([docs[0][1:], (b, *docs[1][2:]), docs[2][1:]]), sorted([docs[1][1:]])) and first
+
+
+@pytest.mark.parametrize("text", ["Yes\nNo\n1\n12\n123\n{\n}", "On\nOff\n1984\n42\nend", "a\nabc\nabcde\nabcdefg\nabcdefghi"])
+def test_unlike_short_lines_stay(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.text for r in stage(spark, df, "").collect()] == [text]
+
+
+def test_chains_take_no_line_that_is_not_close_to_a_kept_one(spark):
+    """A line that grows by two characters a step: each is close to the next one only."""
+    lines = ["=" * 20 + "ab" * i for i in range(60)]
+    random.Random(5).shuffle(lines)
+    docs = [(i, x) for i, x in enumerate(lines)] + [(100, "\n".join(lines[:7])), (None, lines[3])]
+    cells, rule, _ = slow(docs)
+    kept = [r.text for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()]
+    assert sorted(kept) == sorted({rule(x) for x in lines}) and 20 <= len(kept) <= 30

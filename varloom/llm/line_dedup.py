@@ -7,7 +7,10 @@ the same few substrings for all lengths down to EDITS less than its own, by the
 and substring. Keys that many lines of a sample share are hot: there the lines go along with their
 keys, and pairs are rejected inside the join, by letter counts and then by edit distance. Where
 segments get too short to tell lines apart, lines meet by what EDITS deletions at most leave of them.
-What is left is verified by banded bit-parallel edit distance, and components of links are classes.
+What is left is verified by banded bit-parallel edit distance.
+
+Links tell all lines within EDITS. A line goes for another one only over a close link, of one edit in
+CLOSE characters at most, and only for a line that itself stays: no chain of links takes lines along.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import connected_components, cut, drop_cut, table
+from varloom.llm.common import cut, drop_cut, table
 
-#: Edits between lines of a class, and the length from which lines are joined by edits; shorter ones only where equal.
+#: Edits between linked lines, and the length from which lines are joined by edits; shorter ones only where equal.
 EDITS, MIN_CHARS = 2, 1
+#: A link is close where the shorter line has this many characters for each edit.
+CLOSE = 10
 #: Lines of fewer characters meet others by deletions, not by segments.
 SHORT = 12
 #: One in SAMPLE lines tells which keys are hot: those that HOT of them share. Either way is exact.
@@ -156,8 +161,13 @@ def _close(a: Column, b: Column, edits: int) -> Column:
     return (F.levenshtein(a, b, edits) >= 0) & F.when(tiny, True).otherwise(banded_distance(a, b, edits) <= edits)
 
 
+def _is_close(a: Column, b: Column, edits: int) -> Column:
+    """Of two texts within the edits: whether the shorter one has CLOSE characters for each edit."""
+    return F.levenshtein(a, b, edits) * CLOSE <= F.least(F.length(a), F.length(b))
+
+
 def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, cells: DataFrame | None = None) -> DataFrame:
-    """(a, b) of ids of different lines within the edits, each pair once. cells: _line_cells(), written."""
+    """(a, b, close) of ids of different lines within the edits, each pair once. cells: _line_cells(), written."""
     cells = cut(_line_cells(lines, edits)) if cells is None else cells
     some = cells.where(F.length("line") >= min_chars).select("line").distinct().withColumn("n", F.length("line"))
     sampled = with_keys(some.where((F.col("n") >= SHORT) & (F.pmod(line_id(F.col("line"))["lo"], F.lit(SAMPLE)) == 0)), edits)
@@ -178,38 +188,77 @@ def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     asked = cut(met.select(F.explode(F.array("a", "b")).alias("hi")).distinct())
     texts = lines.where("id is not null").select("id", "id.hi", "line").join(_small(asked), "hi").distinct()
     side = lambda c: texts.select(F.col("hi").alias(c), F.col("id").alias(f"{c}_id"), F.col("line").alias(f"{c}_line"))
-    pairs = met.join(side("a"), "a").join(side("b"), "b").where((F.col("a_id") != F.col("b_id")) & _close(F.col("a_line"), F.col("b_line"), edits)).select("a_id", "b_id")
+    pairs = met.join(side("a"), "a").join(side("b"), "b").where((F.col("a_id") != F.col("b_id")) & _close(F.col("a_line"), F.col("b_line"), edits))
+    pairs = pairs.select("a_id", "b_id", _is_close(F.col("a_line"), F.col("b_line"), edits).alias("close"))
 
     short = cut(some.where(F.col("n") < SHORT + edits).select("line", F.explode(deletion_keys(edits)).alias("key")))
     one, other = short.withColumnRenamed("line", "a_line"), short.withColumnRenamed("line", "b_line")
     near = one.join(other, "key").where("a_line < b_line").select("a_line", "b_line").distinct().where(_close(F.col("a_line"), F.col("b_line"), edits))
-    every = pairs.union(near.select(line_id(F.col("a_line")), line_id(F.col("b_line"))))
-    links = cut(every.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct())
+    every = pairs.union(near.select(line_id(F.col("a_line")), line_id(F.col("b_line")), _is_close(F.col("a_line"), F.col("b_line"), edits)))
+    links = cut(every.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "close").distinct())
     for done in (hot, met, asked, short):
         drop_cut(done)
     return links
 
 
+def _losers(edges: DataFrame) -> DataFrame:
+    """(id) of the lines that go, of edges u -> v where u is before v: v goes where such a u stays.
+
+    A round decides on all lines that nothing undecided is before, and on those after them. Hashes
+    order the edges, so the rounds grow with the logarithm of the lines, however links are chained.
+    """
+    edges, gone = cut(edges), []
+    while edges.limit(1).count():
+        stays = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        lost = cut(edges.join(stays, "u").select(F.col("v").alias("id")).distinct())
+        open_ = edges.join(lost, F.col("u") == F.col("id"), "left_anti").join(lost, F.col("v") == F.col("id"), "left_anti")
+        left = cut(open_)
+        drop_cut(edges)
+        edges, gone = left, [*gone, lost]
+    drop_cut(edges)
+    out = edges.select(F.col("u").alias("id")).limit(0)
+    for lost in gone:
+        out = out.union(lost)
+    return out
+
+
 def line_classes(cells: DataFrame, links: DataFrame) -> DataFrame:
     """id, class (a line's id), links (other lines within the edits), head_doc, head_rid and head_pos of
     the class's first line, of the lines that are met more than once or have links; any other line is
     its own class.
 
-    First is by doc_id (null first), then text hash and position.
+    Of close lines, those stay that are met before all lines close to them, and what is close to one
+    of these goes; of the others, the smaller id stays before the larger. So each line that goes is
+    close to one that stays, whose class it has (the one met first, where there are several), and no
+    two lines that stay are close. First is by doc_id (null first), then text hash and position.
     """
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    labels = connected_components(links).withColumnsRenamed({"node": "id", "component": "class"}).join(degree, "id")
     met = cells.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = met.join(labels, "id", "left").where("n > 1 or links > 0").withColumn("class", F.coalesce("class", "id")).withColumn("links", F.coalesce("links", F.lit(0)))
-    heads = named.where("links > 0").groupBy("class").agg(F.min("first").alias("head"))
-    every = named.join(heads, "class", "left").withColumn("head", F.coalesce("head", "first"))
-    return every.select("id", "class", "links", F.col("head.doc_id").alias("head_doc"), F.col("head.rid").alias("head_rid"), F.col("head.pos").alias("head_pos"))
+    named = cut(met.join(degree, "id", "left").where("n > 1 or links > 0").withColumn("links", F.coalesce("links", F.lit(0))))
+    first = named.select("id", "first")
+    close = links.where("close")
+    both = close.select(F.col("a").alias("u"), F.col("b").alias("v")).union(close.select("b", "a"))
+    both = both.join(first.withColumnsRenamed({"id": "u", "first": "u_first"}), "u").join(first.withColumnsRenamed({"id": "v", "first": "v_first"}), "v")
+    both = cut(both)
+    heads = cut(both.groupBy("u").agg(F.bool_and(F.col("u_first") < F.col("v_first")).alias("head")).where("head").select(F.col("u").alias("id")))
+    early = cut(both.join(heads, F.col("u") == F.col("id")).select(F.col("v").alias("id")).distinct())
+    rest = both.where("u < v").select("u", "v")
+    for decided in (heads, early):
+        rest = rest.join(decided, F.col("u") == F.col("id"), "left_anti").join(decided, F.col("v") == F.col("id"), "left_anti")
+    gone = cut(early.union(_losers(rest)))
+    rule = both.join(gone, F.col("v") == F.col("id")).join(gone.withColumnRenamed("id", "lost"), F.col("u") == F.col("lost"), "left_anti")
+    rule = rule.groupBy(F.col("v").alias("id")).agg(F.min(F.struct("u_first", "u")).alias("rule"))
+    every = named.join(rule, "id", "left").withColumn("head", F.coalesce("rule.u_first", "first"))
+    out = cut(every.select("id", F.coalesce("rule.u", "id").alias("class"), "links", F.col("head.doc_id").alias("head_doc"), F.col("head.rid").alias("head_rid"), F.col("head.pos").alias("head_pos")))
+    for done in (named, both, heads, early, gone):
+        drop_cut(done)
+    return out
 
 
 def judge_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, rid, cells (pos, class, links, kept) in order of pos, for each distinct (doc_id, text).
 
-    A line is kept where it is the first of its class. Null, empty and blank texts have no cells;
+    A line is kept where it is the first of its class, a line equal or close to it goes. Null, empty and blank texts have no cells;
     rows that repeat id and text are one document. Other columns are ignored. No rows: no rows.
     """
     lines = document_lines(docs, key, text)
