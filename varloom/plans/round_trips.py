@@ -11,6 +11,7 @@ from varloom.operators import rollup
 from varloom.plans.cohort import calls, read, samples, variants
 from varloom.plans.queries import query, ranked, rounded
 from varloom.sources import sinks, tables, vcf
+from varloom.sources.blocks import write_block_lines
 from varloom.sources.scratch import scratch
 
 
@@ -112,10 +113,11 @@ def _vcf(spark: SparkSession, d: str) -> tuple[str, list[str]]:
     mine = transcript({0: F.lit("T"), 1: F.col("consequence"), 3: F.col("gene"), 24: F.lit("YES"), 36: score("tolerated"), 37: score("benign")})
     info = F.concat(F.lit("AC=1;CSQ="), other, F.lit(","), mine, F.lit(";END=1"))
     fields = [F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), F.lit("."), F.lit("C"), F.lit("T"), F.lit("."), F.lit("PASS"), info, F.lit("GT:GQ")]
-    path = write_lines(wide, "calls", *fields, *[F.coalesce(F.col(f"`{i}`"), F.lit("./.:.")) for i in nations])
+    cells = F.concat_ws("\t", *fields, *[F.coalesce(F.col(f"`{i}`"), F.lit("./.:.")) for i in nations])
+    path = scratch(spark, "calls")
     names = [f"N{i}" for i in nations]
     head = ['##fileformat=VCFv4.2', '##INFO=<ID=CSQ,Number=.,Type=String,Description="annotation">', "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split() + names)]
-    spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("append").text(path)
+    write_block_lines(wide.select(cells.alias("value")), path, "\n".join(head) + "\n")
     return path, names
 
 

@@ -7,19 +7,35 @@ from pyspark.sql import functions as F
 
 from varloom.functions import annotation as an
 from varloom.functions import genome
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The data lines; gz and bgzip files are read as any compressed text."""
-    return spark.read.text(path).where(~F.col("value").startswith("##"))
+from varloom.sources import blocks
+
+
+def read_lines(spark: SparkSession, path: str, samples: list[str] | None = None, regions: list[str] | None = None) -> DataFrame:
+    """The lines behind the header's. Block-compressed files (bgzip) are read by many tasks each, and only
+    the given samples (in that order) and regions (chrom:from-to) leave the reader; other gz files are
+    one task each, and in them and in plain text all samples and regions are read."""
+    if not blocks.is_blocked(path):
+        if samples is not None or regions is not None:
+            raise ValueError("samples and regions are chosen in block-compressed files only")
+        return spark.read.text(path).where(~F.col("value").startswith("##"))
+    options = {}
+    if samples is not None:
+        place = {x: i for i, x in enumerate(header_samples(spark, path))}
+        if missing := [x for x in samples if x not in place]:
+            raise ValueError(f"samples that the header lacks: {missing}")
+        options["samples"] = ",".join(str(place[x]) for x in samples)
+    if regions is not None:
+        options["regions"] = ",".join(regions)
+    return blocks.read_block_lines(spark, path, **options).where(~F.col("value").startswith("##"))
 
 
 def header_samples(spark: SparkSession, path: str) -> list[str]:
-    head = spark.read.text(path).where(F.col("value").startswith("#")).select("value").collect()  # a header's lines
-    if not any(r.value.startswith("##INFO=<ID=CSQ,") for r in head):
-        ids = sorted(r.value.split("ID=")[1].split(",")[0] for r in head if r.value.startswith("##INFO=<ID="))
+    """The names in the header, which is read from a file's first bytes."""
+    head = blocks.head_lines(path)
+    if not any(r.startswith("##INFO=<ID=CSQ,") for r in head):
+        ids = sorted(r.split("ID=")[1].split(",")[0] for r in head if r.startswith("##INFO=<ID="))
         raise ValueError(f"no CSQ annotation in the header; INFO has {ids}")
-    names = [r.value for r in head if r.value.startswith("#CHROM")]
+    names = [r for r in head if r.startswith("#CHROM")]
     if not names:
         raise ValueError("no #CHROM line")
     return names[0].split("\t")[9:]
