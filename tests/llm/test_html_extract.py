@@ -130,3 +130,25 @@ def test_long_and_deep_pages_are_read_in_linear_time():
         align(tree, other)
         blocks(tree, set())
     assert time.time() - start < 30
+
+
+@pytest.mark.parametrize("n", [12, 6, 2])
+@pytest.mark.parametrize("tag", ['form id="aspnetForm"', "aside", "dialog open", 'div role="dialog"', 'section role="form"'])
+def test_no_form_or_aside_empties_a_page(spark, tag, n):
+    """Elements that are noise elsewhere, around the article, inside it, or in place of it."""
+    end = tag.split()[0]
+    said = lambda i: f"<h2>Day {i}</h2><p>{SAID.format(i=i)}</p><p>More on {i} tomorrow.</p>"
+    nav, low = "<nav><a href=/>Start</a></nav>", "<footer>Made with care</footer>"
+    whole = {i: f"Day {i}\n{SAID.format(i=i)}\nMore on {i} tomorrow." for i in range(n)}
+    assert pages_of(spark, lambda i: f"<body><{tag}>{nav}<article>{said(i)}</article>{low}</{end}>", n) == whole
+    assert pages_of(spark, lambda i: f"<body><{tag}>{nav}<div>{said(i)}</div>{low}</{end}>", n) == whole
+    inside = pages_of(spark, lambda i: f"<body>{nav}<article><h1>Head {i}</h1><{tag}>{said(i)}</{end}></article>{low}", n)
+    assert inside == {i: f"Head {i}\n{t}" for i, t in whole.items()}
+
+
+def test_forms_and_asides_beside_the_article_still_go(spark):
+    form = lambda i: f"<form><label>Your name, reader {i}</label><select><option>{i}</select></form><aside>Also {i}</aside><nav>{'link ' * 40}{i}</nav>"
+    got = pages_of(spark, lambda i: f"<body>{form(i)}<article><h2>Day {i}</h2><p>{SAID.format(i=i)}</p></article>", 6)
+    assert got == {i: f"Day {i}\n{SAID.format(i=i)}" for i in range(6)}
+    one = pages_of(spark, lambda i: "<body><form><label>Name</label><input name=q></form>", 1)
+    assert one == {0: ""}

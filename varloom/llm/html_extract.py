@@ -6,7 +6,8 @@ seed node counts how often it is met and how often its own text is the same. Con
 template, varying nodes are slots. The subtree that holds most of the varying text is the host's
 content, and every page gives the blocks of the subtree that is aligned with it, without template
 nodes. Varying text that is never the article (adverts, reader comments ...) goes by tag, role or
-class; but a class says nothing against an element that holds most of the host's varying text.
+class; but neither a class nor a form, aside, dialog or role says anything against an element that
+holds most of the host's varying text.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table div article section main body html".split())
 #: Elements and roles that are never the article.
 DROP = frozenset("head script style title noscript template iframe svg nav footer aside form button select option textarea menu dialog input".split())
+#: Of these, the ones that no page keeps its article in, however much text they hold.
+NEVER = frozenset("head script style title noscript template iframe svg nav footer header button select option textarea menu input xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
 #: A class or id names noise where one of its words is of the first list, and the others of either.
 NOISE = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars sidenav nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager toolbar skip".split())
@@ -321,7 +324,7 @@ def align(page: Node, seed: Node, shapes: Shapes | None = None) -> dict[int, Nod
 
 class Wrapper:
     """What a host's pages have in common: the seed's tree, the number of its node that is the content,
-    those of its template nodes, and of those whose class is no sign of noise."""
+    those of its template nodes, and of those that are no noise whatever their tag or class."""
 
     def __init__(self, seed: str):
         self.tree = parse(seed)
@@ -352,9 +355,12 @@ class Wrapper:
                     mass[nodes[i].up.at] += mass[i]
             return mass
 
-        mass = masses({x.at for x in nodes if x.noise == 2})
-        self.pardoned = {x.at for x in nodes if x.noise == 1 and mass[x.at] and mass[x.at] >= MASS * mass[0]}
-        noisy = {x.at for x in nodes if x.noise == 2 or x.noise == 1 and x.at not in self.pardoned}
+        mass = masses({x.at for x in nodes if x.tag in NEVER})
+        told = any(n > same for n, same, _ in slots.values())
+        kept = {x.at for x in nodes if x.noise == 2 and x.tag not in NEVER and mass[x.at] and mass[x.at] >= MASS * mass[0] and (told or _holds_root(x))}
+        mass = masses({x.at for x in nodes if x.noise == 2 and x.at not in kept})
+        self.pardoned = kept | {x.at for x in nodes if x.noise == 1 and mass[x.at] and mass[x.at] >= MASS * mass[0]}
+        noisy = {x.at for x in nodes if x.noise and x.at not in self.pardoned}
         mass = masses(noisy)
         for x in nodes:  # in page order: below noise all is noise
             if x.up is not None and x.up.at in noisy:
@@ -376,6 +382,17 @@ class Wrapper:
         return self
 
 
+def _holds_root(node: Node) -> bool:
+    """Whether an article or main element is below, where no varying text tells of the article."""
+    todo = list(node.els)
+    while todo:
+        x = todo.pop()
+        if x.tag in ROOTS or x.role == "main":
+            return True
+        todo += x.els
+    return False
+
+
 def _tops(page: Node, pardoned: set[int]) -> list[Node]:
     """The page's own article and main elements, outermost ones, or the page."""
     found, todo = [], [page]
