@@ -287,14 +287,6 @@ def permutation_p(observed: DataFrame, null: DataFrame) -> DataFrame:
     return null.crossJoin(F.broadcast(o)).agg(((F.count_if(F.abs("z") >= F.col("_z")) + 1) / (F.count(F.lit(1)) + 1)).alias("empirical_p"), (F.lit(100.0) * F.avg((F.abs("z") < F.col("_z")).cast("double"))).alias("percentile"), F.count(F.lit(1)).alias("n_permutations"))
 
 
-def null_z(observed: DataFrame, null: DataFrame, by: tuple[str, ...] = ("classifier", "k_effective")) -> DataFrame:
-    """Observed AUC against the shared null of its group: z, empirical p, FDR over the whole grid."""
-    n = null.groupBy(*by).agg(F.avg("auc").alias("null_mean"), F.stddev_samp("auc").alias("null_std"), F.collect_list("auc").alias("_n"))
-    t = observed.join(n, list(by), "left").withColumn("z", F.try_divide(F.col("auc") - F.col("null_mean"), F.col("null_std")))
-    t = t.withColumn("p_value", (F.size(F.filter("_n", lambda x: x >= F.col("auc"))) + 1) / (F.size("_n") + 1)).drop("_n")
-    return stats.bh_fdr(t, "p_value", "fdr")
-
-
 def cross_validated_auc(rows: DataFrame, features: list[str], make: Callable, label: str = "label") -> DataFrame:
     """(fold, auc) of a Spark ML classifier over a fold column; make() gives an estimator on ``features``."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
