@@ -1,6 +1,6 @@
 """Personal data with offset-preserving deobfuscation (operator 3).
 
-Base identifiers are found in the text as it stands. Three transducers then rewrite disguises
+Base identifiers are found in the text as it stands. Transducers then rewrite disguises
 (homoglyphs, spelled digits, at/dot words) and keep, for each rewritten piece, where it came from;
 the same detectors run on the rewritten text, and what they find there is mapped back to source
 characters. Every detector is linear in the text: a run of characters is read once.
@@ -8,6 +8,7 @@ characters. Every detector is linear in the text: a run of characters is read on
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from bisect import bisect_right
@@ -71,11 +72,18 @@ DIGIT_WORDS = {w: str(i % 10) for i, w in enumerate("zero one two three four fiv
 MIN_SPELLED = 4  # digit words in a row
 
 _D = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_D})(?:[\s,-]++(?:{_D})){{{MIN_SPELLED - 1},}}+(?![^\W_])")
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s,-]++)?+(?:{_D})(?:[\s,-]++(?:{_D})){{{MIN_SPELLED - 1},}}+(?![^\W_])")
 #: What stands for a sign: in brackets, as a word of its own, or as a sign with white space around it.
 _BRACKET = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(at|dot|@|\.)\s*+[\])}>]\s*+")
 _WORDS = re.compile(r"(?i)(?<=[a-z0-9])\s++(at|dot|punkt|point|punto)\s++(?=[a-z0-9])")
 _SPACED = re.compile(r"(?i)(?<=[a-z0-9])\s++@\s*+(?=[a-z0-9])|(?<=[a-z0-9])@\s++(?=[a-z0-9])")
+_JOINED = re.compile(r"(?i)(?<=[a-z0-9])([_-])(at|dot)\1(?=[a-z0-9])")
+_NUMBERS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){0,3}")
+#: Letters that stand for digits in a word of a number, or alone for a part of an address. Fixed values.
+LETTER_DIGITS = dict(zip("OoIlSBZ", "0011582", strict=True))
+_LETTERED = re.compile(r"(?<![A-Za-z0-9_])[0-9OoIlSBZ]++(?![A-Za-z0-9_])")
+_LETTER_NEAR = re.compile(r"[0-9][OoIlSBZ]|[OoIlSBZ][0-9]|[0-9]\.[OoIl](?![A-Za-z])")
+_REFERENCE = re.compile(r"(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|commat|period|plus|lowbar|hyphen);")
 _LABEL = re.compile(r"[A-Za-z0-9._%+@-]*+")
 _NON_ASCII = re.compile(r"[^\x00-ɏḀ-ỿ]")
 
@@ -117,14 +125,33 @@ class Rewritten:
 
 
 def _spelled(m: re.Match) -> str:
-    return "".join(DIGIT_WORDS[w] for w in re.split(r"[\s,-]+", m.group().lower()))
+    return "".join("+" if w == "plus" else DIGIT_WORDS[w] for w in re.split(r"[\s,-]+", m.group().lower()))
 
 
 #: (rewrites a text to pieces), in the order in which they are composed.
+def _references(text: str) -> list[tuple[int, int, str]]:
+    """Numeric and named references to a single printable ASCII character."""
+    found = ((m, html.unescape(m.group() if m[0][1] == "#" else m.group().lower())) for m in _REFERENCE.finditer(text))
+    return [(m.start(), m.end(), new) for m, new in found if len(new) == 1 and " " <= new <= "~"]
+
+
 def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), new) for m in _NON_ASCII.finditer(text) if (new := plain(m.group())) != m.group()]
 
 
+def _letters(text: str) -> list[tuple[int, int, str]]:
+    """Words of digits and letters like them, with as many digits as letters at least; a letter alone after
+    a number and a dot, for a part of an address."""
+    out = []
+    for m in _LETTERED.finditer(text) if _LETTER_NEAR.search(text) else ():
+        word = m.group()
+        letters = sum(c in LETTER_DIGITS for c in word)
+        part = len(word) == 1 and m.start() > 1 and text[m.start() - 1] == "." and (text[m.start() - 2].isdigit() or text[m.start() - 2] in LETTER_DIGITS)
+        if letters and (2 * letters <= len(word) or part):
+            out.append((m.start(), m.end(), "".join(LETTER_DIGITS.get(c, c) for c in word)))
+    return out
+
+
 def _digits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _spelled(m)) for m in _SPELLED.finditer(text)]
 
@@ -135,6 +162,7 @@ def _signs(text: str) -> list[tuple[int, int, str, bool]]:
     found = [(m.start(), m.end(), sign(m[1]), True) for m in _BRACKET.finditer(text)]
     found += [(m.start(), m.end(), "@", True) for m in _SPACED.finditer(text)]
     found += [(m.start(), m.end(), sign(m[1]), False) for m in _WORDS.finditer(text)]
+    found += [(m.start(), m.end(), sign(m[2]), False) for m in _JOINED.finditer(text)]
     out, end = [], 0
     for x in sorted(found):
         if x[0] >= end:
@@ -143,24 +171,43 @@ def _signs(text: str) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def _address(labels: list[str], signs: list[str]) -> list[bool]:
+    """Which dots join numbers to four parts; labels stand before, between and after the signs."""
+    out, i = [False] * len(signs), 0
+    numbers = [_NUMBERS.fullmatch(x.rstrip(".") if k == len(labels) - 1 else x) is not None for k, x in enumerate(labels)]
+    while i < len(signs):
+        j = i
+        while j < len(signs) and signs[j] == "." and numbers[j] and numbers[j + 1]:
+            j += 1
+        parts = ".".join(labels[i : j + 1]).rstrip(".").split(".") if j > i else []
+        if len(parts) == 4 and all(int(x) <= 255 for x in parts):
+            out[i:j] = [True] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def _at_dot(text: str) -> list[tuple[int, int, str]]:
     """Signs that only labels stand between are a chain of any length. A bare ``at`` counts where a dot
-    comes next in its chain, a bare ``dot`` where its chain has such an at sign or one in a label before it."""
+    comes next in its chain, which ends in no number, a bare ``dot`` where its chain has such an at sign or one in a label before it, and
+    any dot of a chain that makes the four parts of an address of numbers, none over 255."""
     out, signs, i = [], _signs(text), 0
     while i < len(signs):
         j, labels = i, []
         while True:
-            m = _LABEL.match(text, signs[j][1])
+            stop = signs[j + 1][0] if j + 1 < len(signs) else len(text)
+            m = _LABEL.match(text, signs[j][1], stop)
             labels.append(m[0])
             j += 1
-            if j == len(signs) or m.end() != signs[j][0] or not m[0]:
+            if j == len(signs) or m.end() != stop or not m[0]:
                 break
         chain, lo = signs[i:j], signs[i][0]
         floor = signs[i - 1][1] if i else 0
         while lo > floor and (text[lo - 1] in _LOCAL or text[lo - 1] == "@"):
             lo -= 1
-        counts = [sure or (s == "@" and k + 1 < len(chain) and chain[k + 1][2] == "." and "@" not in labels[k]) for k, (_, _, s, sure) in enumerate(chain)]
+        number = labels[-1].rstrip(".").isdigit()  # no domain ends in one
+        counts = [sure or (s == "@" and k + 1 < len(chain) and chain[k + 1][2] == "." and "@" not in labels[k] and not number) for k, (_, _, s, sure) in enumerate(chain)]
         at = any(c and x[2] == "@" for c, x in zip(counts, chain, strict=True))
+        counts = [c or k for c, k in zip(counts, _address([text[lo : signs[i][0]], *labels], [x[2] for x in chain]), strict=True)]
         before = "@" in text[lo : signs[i][0]]
         for (a, b, s, _), counted, label in zip(chain, counts, labels, strict=True):
             if counted or s == "." and (at or before):
@@ -170,16 +217,16 @@ def _at_dot(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-_TRIGGER = re.compile(rf"(?i)[\[({{<]\s*+(?:at|dot|@|\.)\s*+[\])}}>]|\s@|@\s|\s(?:dot|punkt|point|punto)\s|\b(?:{_D})[\s,-]++(?:{_D})\b")
+_TRIGGER = re.compile(rf"(?i)&(?:#|commat|period|plus|lowbar|hyphen)|[_-]dot[_-]|[\[({{<]\s*+(?:at|dot|@|\.)\s*+[\])}}>]|\s@|@\s|\s(?:dot|punkt|point|punto)\s|\b(?:{_D})[\s,-]++(?:{_D})\b")
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only the rewritten text shows whole, in source characters; none lies within a base span of its kind."""
     glyphs = not text.isascii() and _NON_ASCII.search(text) is not None
-    if not glyphs and not _TRIGGER.search(text):
+    if not glyphs and not _TRIGGER.search(text) and not _LETTER_NEAR.search(text):
         return []
     layers, now = [], text
-    for step in (_homoglyphs, _digits, _at_dot):
+    for step in (_references, _homoglyphs, _letters, _digits, _at_dot):
         if pieces := step(now):
             layers.append(Rewritten(now, pieces))
             now = layers[-1].text
