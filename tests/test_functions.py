@@ -103,3 +103,28 @@ def test_two_samples(spark):
     assert math.isclose(stats.ks_statistic(df, "x", "g").first().ks, 0.75 - 1 / 3)
     hl = spark.createDataFrame([("g", 5.0, 1.0), ("g", 9.0, 2.0)], "k string, a double, b double")
     assert stats.hodges_lehmann(hl, "a", "b", "k").first().shift == 5.5 and stats.hodges_lehmann(hl, "a", "b", "k", 1).first().shift == 5.5
+
+
+def test_fisher_of_large_margins_takes_few_steps(spark):
+    import time
+
+    n, row, col = 4_000_000, 900_000, 800_000
+    rows = [(k + i, row, col, n) for k in (179_000, 180_000, 181_000) for i in range(20)]
+    df = spark.createDataFrame(rows, "a long, r long, c long, n long")
+    start = time.time()
+    got = {r.a: (r.g, r.l) for r in df.select("a", *[stats.fisher(None, F.col("a"), F.col("r"), F.col("c"), F.col("n"), s).alias(x) for s, x in (("greater", "g"), ("less", "l"))]).collect()}
+    assert time.time() - start < 60  # 620,000 terms a row before
+    assert got[180_000][0] == pytest.approx(0.5, abs=0.01)
+    for a in (180_000, 181_000):
+        assert got[a][0] + got[a][1] - 1 == pytest.approx(stats.fisher_p(a, row, col, n, "greater") - stats.fisher_p(a + 1, row, col, n, "greater"), rel=1e-4, abs=1e-9)
+
+
+@pytest.mark.parametrize("side", ["greater", "less", "two-sided"])
+def test_fisher_equals_the_plain_sum(side):
+    from fractions import Fraction
+
+    for n, row, col in ((12, 5, 7), (30, 15, 15), (30, 29, 4), (9, 9, 3), (40, 0, 3), (41, 20, 21)):
+        pmf = {k: Fraction(math.comb(row, k) * math.comb(n - row, col - k), math.comb(n, col)) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        for a in pmf:
+            ok = {"greater": lambda k: k >= a, "less": lambda k: k <= a, "two-sided": lambda k: pmf[k] <= pmf[a] * (1 + Fraction(1, 10**7))}[side]
+            assert stats.fisher_p(a, row, col, n, side) == pytest.approx(float(sum(v for k, v in pmf.items() if ok(k))), rel=1e-11)
