@@ -29,9 +29,10 @@ def finite(df: DataFrame, value: str) -> DataFrame:
 
 def standardised(df: DataFrame, value: str, group: str, out: str = "z") -> DataFrame:
     """z by the group's mean and population deviation; a group of one value has z 0."""
-    df = finite(df, value)
+    df = ordered.written(finite(df, value))
     facts = df.groupBy(group).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return df.join(facts, group).withColumn(out, F.coalesce(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
+    # a row a group: joined by a shuffle, all rows of a group would meet in one task
+    return df.join(F.broadcast(facts), group).withColumn(out, F.coalesce(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")), F.lit(0.0))).drop("_m", "_s")
 
 
 def harmonic(n: Column, power: int = 1) -> Column:
@@ -84,7 +85,7 @@ def density(df: DataFrame, value: str, group: str, points: int = 500, pad: float
     the largest plus pad, Scott's bandwidth. Each value is shared between its two grid points, so that only points x
     groups masses are convolved, whatever the rows; the error is of the order of (grid step / bandwidth)^2 / 12. Groups of
     under three values or without spread have density 0, as has every group of an empty table."""
-    rows = finite(df, value).select(F.col(group), F.col(value).cast("double").alias("_v"))
+    rows = ordered.written(finite(df, value).select(F.col(group), F.col(value).cast("double").alias("_v")))
     ends = rows.agg((F.min("_v") - pad).alias("_lo"), ((F.max("_v") - F.min("_v") + 2 * pad) / (points - 1)).alias("_step"))  # one row
     facts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_s")).crossJoin(F.broadcast(ends))
     u = (F.col("_v") - F.col("_lo")) / F.col("_step")
@@ -94,7 +95,7 @@ def density(df: DataFrame, value: str, group: str, points: int = 500, pad: float
     grid = facts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     h = F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     far = F.try_divide((F.col("i") - F.col("_j")) * F.col("_step"), h)
-    made = grid.join(mass, group).groupBy(group, "i").agg(F.max("_lo").alias("_lo"), F.max("_step").alias("_step"), F.max("_n").alias("_n"), F.max("_s").alias("_s"), F.sum(F.col("_m") * F.exp(-far * far / 2)).alias("_d"))
+    made = grid.join(F.broadcast(mass), group).groupBy(group, "i").agg(F.max("_lo").alias("_lo"), F.max("_step").alias("_step"), F.max("_n").alias("_n"), F.max("_s").alias("_s"), F.sum(F.col("_m") * F.exp(-far * far / 2)).alias("_d"))
     flat = (F.col("_n") < 3) | (F.col("_s") < 1e-12)
     return made.select(group, "i", (F.col("_lo") + F.col("i") * F.col("_step")).alias("x"), F.when(flat, 0.0).otherwise(F.try_divide(F.col("_d"), F.col("_n") * h * math.sqrt(2 * math.pi))).alias("density"))
 
