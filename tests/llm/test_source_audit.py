@@ -99,3 +99,28 @@ def test_arithmetic_is_exact():
 
 def test_query_has_sql():
     assert set(source_audit.SQL) == set(source_audit.QUERIES)
+
+
+def test_counters_are_arrays_and_nodes_are_read_without_an_object_a_number(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    docs = [([rng.choice([b"a", b"b", b"ab", b"abc"]) for _ in range(rng.randrange(6))], rng.choice("xyz")) for _ in range(60)]
+    made = source_audit.Counts()
+    for at in range(0, 60, 7):
+        part = docs[at : at + 7]
+        made.add([made.numbers(w) for w, _ in part], [s for _, s in part])
+        if at % 3 == 0:
+            made.fold()
+    rows = [r for r in made.trie("en") if r[2]]
+    counts, df = Counter((w, s) for words, s in docs for w in words), Counter(w for words, _ in docs for w in set(words))
+    seen = {(r[3][t], r[5][s]): n for r in rows for t, s, n in zip(r[6], r[7], r[8], strict=True)}
+    assert seen == counts and {t: n for r in rows for t, n in zip(r[3], r[4], strict=True)} == df
+    batch = source_audit._record(rows, source_audit._ARROW)
+    monkeypatch.setattr(source_audit, "values", None)  # rows as Python objects took most of a merge's time
+    merged = [r for b in source_audit.merge_nodes(1)(iter([batch])) for r in b.to_pylist()]
+    assert {t: n for r in merged for t, n in zip(r["terms"], r["df"], strict=True)} == df
+    assert sum(b.num_rows for b in source_audit.burst(3)(iter([batch]))) == 4
+    node = next(source_audit._nodes(pa.record_batch(batch.columns, schema=batch.schema)))[1]
+    assert all(x.dtype == np.int64 for x in (node.df, node.leaf, node.source, node.n))

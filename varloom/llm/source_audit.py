@@ -12,7 +12,7 @@ sources and keeps its best terms of each group, which a last ranking merges.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from varloom.llm.common import cut, released, table, values
 
 LEAST, SCALE, PRIOR, BEST = 10, 1_000_000_000, 2, 10
-#: Bytes of the first prefixes, leaves that a merged node may hold, and counters of a task's tries.
-DEPTH, NODE, FLUSH = 2, 400_000, 600_000
+#: Bytes of the first prefixes, leaves that a merged node may hold, counters of a task's tries, and words counted at once.
+DEPTH, NODE, FLUSH, WORDS = 2, 400_000, 600_000, 100_000
 
 #: Bytes to lower-cased letters; what is no letter separates terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -72,8 +72,10 @@ class Node:
         bounds = np.searchsorted(self.leaf, [*starts, len(heads)])
         for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(heads)], strict=True)):
             lo, hi = bounds[k], bounds[k + 1]
-            used, source = np.unique(self.source[lo:hi], return_inverse=True)
-            yield heads[a], Node(self.terms[a:b], self.df[a:b], [self.sources[i] for i in used], self.leaf[lo:hi] - a, source, self.n[lo:hi])
+            used = np.flatnonzero(np.bincount(self.source[lo:hi], minlength=len(self.sources)))
+            seat = np.zeros(len(self.sources), np.int64)
+            seat[used] = np.arange(len(used))
+            yield heads[a], Node(self.terms[a:b], self.df[a:b], [self.sources[i] for i in used], self.leaf[lo:hi] - a, seat[self.source[lo:hi]], self.n[lo:hi])
 
     def row(self, lang: str, prefix: bytes) -> tuple:
         return lang, prefix, len(self.terms), self.terms, self.df, self.sources, self.leaf.astype(np.int32), self.source.astype(np.int32), self.n
@@ -83,60 +85,116 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
-def _trie(lang: str, counts: dict[str, Counter], df: Counter) -> Iterator[tuple]:
-    """Rows of one language's trie: its sources under the empty prefix, then its nodes."""
-    sources = sorted(counts)
-    terms = sorted(df)
-    place = {t: i for i, t in enumerate(terms)}
-    leaf = np.concatenate([np.empty(0, np.int64), *[np.fromiter(map(place.__getitem__, counts[s]), np.int64, len(counts[s])) for s in sources]])
-    source = np.repeat(np.arange(len(sources)), [len(counts[s]) for s in sources])
-    n = np.concatenate([np.empty(0, np.int64), *[np.fromiter(counts[s].values(), np.int64, len(counts[s])) for s in sources]])
-    order = np.argsort(leaf, kind="stable")
-    empty = np.empty(0, np.int64)
-    yield Node([], empty, sources, empty, empty, empty).row(lang, b"")
-    root = Node(terms, np.fromiter(map(df.__getitem__, terms), np.int64, len(terms)), sources, leaf[order], source[order], n[order])
-    for prefix, node in root.children(DEPTH):
-        yield node.row(lang, prefix)
+def _numbered() -> defaultdict:
+    """Numbers its keys in the order in which they are first asked for."""
+    made: defaultdict = defaultdict()
+    made.default_factory = made.__len__
+    return made
+
+
+class Counts:
+    """Counters of one language: of each (term, source) its occurrences and documents, as arrays."""
+
+    def __init__(self) -> None:
+        self.terms, self.sources = _numbered(), _numbered()
+        self.key, self.n, self.docs = (np.empty(0, np.int64) for _ in range(3))
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words))
+
+    def add(self, texts: list[np.ndarray], sources: list[str]) -> None:
+        """Counts documents' words, as numbers; a document has one source, so it counts once for each of its terms."""
+        term = np.concatenate(texts)
+        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        source = np.fromiter(map(self.sources.__getitem__, sources), np.int64, len(sources))
+        own, n = np.unique(term * len(texts) + doc, return_counts=True)
+        term, doc = np.divmod(own, len(texts))
+        self.new.append((term << 32 | source[doc], n))
+        self.waiting += len(own)
+
+    def fold(self) -> int:
+        """Adds up what waits; gives the number of counters, one more for each term."""
+        if self.new:
+            key = np.concatenate([self.key, *[k for k, _ in self.new]])
+            n = np.concatenate([self.n, *[c for _, c in self.new]])
+            docs = np.concatenate([self.docs, np.ones(self.waiting, np.int64)])
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            self.key, self.n, self.docs = (key[at], np.add.reduceat(n[order], at), np.add.reduceat(docs[order], at)) if len(at) else (key, n, docs)
+            self.new, self.waiting = [], 0
+        return len(self.key) + len(self.terms)
+
+    def trie(self, lang: str) -> Iterator[tuple]:
+        """Rows of the language's trie: its sources under the empty prefix, then its nodes."""
+        self.fold()
+        terms, sources = sorted(self.terms), sorted(self.sources)
+        place, seat = np.empty(len(terms), np.int64), np.empty(len(sources), np.int64)
+        place[self.numbers(terms)] = np.arange(len(terms))
+        seat[np.fromiter(map(self.sources.__getitem__, sources), np.int64, len(sources))] = np.arange(len(sources))
+        leaf, source = place[self.key >> 32], seat[self.key & 0xFFFFFFFF]
+        order = np.argsort(leaf * len(sources) + source)
+        df = np.zeros(len(terms), np.int64)
+        np.add.at(df, leaf, self.docs)
+        empty = np.empty(0, np.int64)
+        yield Node([], empty, sources, empty, empty, empty).row(lang, b"")
+        for prefix, node in Node(terms, df, sources, leaf[order], source[order], self.n[order]).children(DEPTH):
+            yield node.row(lang, prefix)
 
 
 def count_tries(flush: int = FLUSH):  # noqa: ANN201
     """A task's tries over rows (text, lang, source); they are written when they hold flush counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-        df: dict[str, Counter] = defaultdict(Counter)
+        counts: dict[str, Counts] = defaultdict(Counts)
+        texts: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
+        step, size, held = min(flush, WORDS), 0, 0
+
+        def counted() -> None:
+            for lang, (words, sources) in texts.items():
+                counts[lang].add(words, sources)
+            texts.clear()
 
         def written() -> Iterator[pa.RecordBatch]:
             for lang in sorted(counts):
                 rows = []
-                for row in _trie(lang, counts[lang], df[lang]):
+                for row in counts[lang].trie(lang):
                     rows.append(row)
                     if len(rows) == 64:
                         yield _record(rows, _ARROW)
                         rows = []
                 yield _record(rows, _ARROW)
             counts.clear()
-            df.clear()
 
-        held = 0
         for b in batches:
             for text, lang, source in zip(values(b.column(0)), values(b.column(1)), values(b.column(2)), strict=True):
-                words, own = text.encode().translate(LETTERS).split(), counts[lang][source]
-                held -= len(own) + len(df[lang])
-                own.update(words)
-                df[lang].update(set(words))
-                held += len(own) + len(df[lang])
-                if held > flush:
-                    yield from written()
-                    held = 0
+                words = text.encode().translate(LETTERS).split()
+                own = texts[lang]
+                own[0].append(counts[lang].numbers(words))
+                own[1].append(source)
+                size += len(words) + 1
+                if size > step:
+                    counted()
+                    size = 0
+                    if held + sum(c.waiting for c in counts.values()) > flush:
+                        held = sum(c.fold() for c in counts.values())
+                        if held > flush:
+                            yield from written()
+                            held = 0
+        counted()
         yield from written()
 
     return released(run)
 
 
-def _node(row: dict) -> Node:
-    a = lambda k: np.array(row[k], np.int64)
-    return Node(row["terms"], a("df"), row["sources"], a("term_at"), a("source_at"), a("n"))
+def _nodes(b: pa.RecordBatch) -> Iterator[tuple[int, Node]]:
+    """The nodes of a batch's rows, one at a time; numbers are copied as arrays, without an object for each."""
+    terms, df, sources, term_at, source_at, n = map(b.column, _ARROW.names[3:])
+    a = lambda x: np.array(x.values.to_numpy(zero_copy_only=False), np.int64)
+    for i in range(b.num_rows):
+        yield i, Node(terms[i].as_py(), a(df[i]), sources[i].as_py(), a(term_at[i]), a(source_at[i]), a(n[i]))
 
 
 def burst(depth: int):  # noqa: ANN201
@@ -144,8 +202,9 @@ def burst(depth: int):  # noqa: ANN201
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in values(b, 8):
-                yield _record([node.row(row["lang"], prefix) for prefix, node in _node(row).children(depth)], _ARROW)
+            for i, node in _nodes(b):
+                lang = b.column(0)[i].as_py()
+                yield _record([part.row(lang, prefix) for prefix, part in node.children(depth)], _ARROW)
 
     return released(run)
 
@@ -163,11 +222,11 @@ def merge_nodes(least: int):  # noqa: ANN201
                     yield _record([node.take(keep).row(*key)], _ARROW)
 
         for b in batches:
-            for row in values(b, 16):
-                if (row["lang"], row["prefix"]) != key:
+            for i, node in _nodes(b):
+                if (own := (b.column(0)[i].as_py(), b.column(1)[i].as_py())) != key:
                     yield from done()
-                    key, nodes, held, most = (row["lang"], row["prefix"]), [], 0, 0
-                nodes.append(_node(row))
+                    key, nodes, held, most = own, [], 0, 0
+                nodes.append(node)
                 held += len(nodes[-1].terms)
                 if held > 2 * max(most, NODE // 4):  # leaves that recur are folded before they pile up
                     nodes = [Node.merge(nodes)]
@@ -198,9 +257,10 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs: dict[str, tuple[list[str], np.ndarray]] = {}
     best: dict[tuple[str, str], list] = defaultdict(list)
     for b in batches:
-        for row in values(b, 8):
-            node, lang, names = _node(row), row["lang"], row["all_sources"]
-            seat, width = {s: i for i, s in enumerate(names)}, len(row["all_sources"])
+        for at, node in _nodes(b):
+            row = {c: b.column(c)[at].as_py() for c in ("lang", "all_sources", "totals", "kept")}
+            lang, names = row["lang"], row["all_sources"]
+            seat, width = {s: i for i, s in enumerate(names)}, len(names)
             own = np.array([seat[s] for s in node.sources], np.int64)
             sums = pairs.setdefault(lang, (names, np.zeros((width, width), np.int64)))[1]
             totals = np.array(row["totals"], np.int64) + PRIOR * row["kept"]
