@@ -85,3 +85,15 @@ def test_no_rows_give_no_events_and_settings_stay(spark):
     before = spark.conf.get(key)
     assert reassemble(deal(spark.createDataFrame([], SCHEMA)), batches=1).collect() == []
     assert spark.conf.get(key) == before
+
+
+def test_state_stores_are_closed_with_their_start(spark):
+    """Else those of all starts stay in memory: two a start and shuffle partition."""
+    kind = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    field = kind.getDeclaredField("loadedProviders")
+    field.setAccessible(True)
+    loaded = lambda: field.get(kind.getField("MODULE$").get(None)).size()
+    before = loaded()
+    got = reassemble(deal(spark.createDataFrame([(1, 0, "user", "hi", "b", 9, "p"), (1, 1, "user", "ho", "b", 9, "p")], SCHEMA), 1), batches=1).collect()
+    assert {r.event for r in got} == {"release", "close"}
+    assert loaded() <= before
