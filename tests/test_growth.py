@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom.functions import shape
-from varloom.operators import cohort
+from varloom.operators import cohort, pairs
 from varloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,13 @@ def test_embedding_means_keep_the_sign_of_a_zero(spark, tmp_path):
     spark.createDataFrame([(0, [-4e-6, 4e-6, 0.0, -2e-5], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     v = queries.gene_embedding_mean(spark, str(tmp_path)).first().vector
     assert v == [0.0, 0.0, 0.0, -2e-5] and [math.copysign(1, x) for x in v] == [-1, 1, 1, -1]
+
+
+def test_interactions_hold_no_table_of_samples_and_pairs(spark):
+    rows = [(1, 5, 1, 3, 2, 0.5), (1, 3, 2, 5, 1, 0.7), (2, 5, 1, 3, 2, 0.1), (None, 3, 2, 5, 1, 0.9), (3, 4, 1, 4, 1, 0.2), (3, 4, 1, 4, 1, 0.2)]
+    df = spark.createDataFrame([(s, "1", p, g, "1", q, h, x) for s, p, g, q, h, x in rows], "sample_id long, chrom_a string, pos_a long, gene_a long, chrom_b string, pos_b long, gene_b long, score double")
+    made = pairs.interactions_across_samples(df, 1)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "HashAggregate" in x and "sample_id" in x]
+    got = {r.pos_a: (r.pos_b, r.n_samples, r.n_occurrences, round(r.mean_score, 9), r.max_score) for r in made.collect()}
+    assert got == {3: (5, 2, 4, 0.55, 0.9), 4: (4, 1, 2, 0.2, 0.2)}  # a null sample is none
