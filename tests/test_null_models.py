@@ -138,3 +138,12 @@ def test_shared_null_counts_and_invariants(spark):
     one_class = who.withColumn("label", F.lit(1))
     with pytest.raises(Exception, match="is not whole"):
         null_models.shared_null(levels, matrix, one_class, 3).collect()
+
+
+def test_burdens_meet_once_for_all_folds(spark):
+    who = spark.createDataFrame([(i, i % 2, i % 3) for i in range(12)], "sample_id long, label int, fold int")
+    matrix = spark.createDataFrame([(i, "a", i % 4) for i in range(12)], "sample_id long, gene string, burden long")
+    made = null_models.set_aucs(spark.createDataFrame([("s", "a")], "set_id string, gene string"), matrix, who)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [set_id" in plan and "fold" not in plan.split("FlatMapGroupsInPandas ")[1].split("]")[0]
+    assert sorted((r.fold, r.auc is None) for r in made.collect()) == [(0, False), (1, False), (2, False)]
