@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-from varloom.llm.turn_reassembly import BATCHES, PATIENCE, deal, reassemble
+from varloom.llm.turn_reassembly import BATCHES, FEED, PATIENCE, deal, events, reassemble
 
 SCHEMA = "conv_id long, turn long, role string, text string, batch string, first int, payload string"
 
@@ -97,3 +97,20 @@ def test_state_stores_are_closed_with_their_start(spark):
     got = reassemble(deal(spark.createDataFrame([(1, 0, "user", "hi", "b", 9, "p"), (1, 1, "user", "ho", "b", 9, "p")], SCHEMA), 1), batches=1).collect()
     assert {r.event for r in got} == {"release", "close"}
     assert loaded() <= before
+
+
+def test_a_start_opens_one_store_a_partition(spark):
+    """RocksDB's statistics of a store stay in an executor's memory after it is closed, so stores opened count."""
+    names = [c.split() for c in FEED.split(", ")]
+    feed = spark.readStream.format("rate").load().selectExpr(*[f"cast({'timestamp' if t == 'timestamp' else 'null'} as {t}) {c}" for c, t in names])
+    plan = events(feed)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("TransformWithState") == 1
+
+
+def test_repeats_of_waiting_and_released_turns(spark):
+    """A turn that waits or is released is kept: what comes again only keeps its conversation open."""
+    came = [(0, 1, 2, 0, "user", "user|c"), (0, 1, 0, 0, "user", "user|a"), (2, 1, 2, 0, "a", "a|late"), (2, 1, 0, 0, "a", "a|late"), (4, 1, 1, 0, "b", "b|b"), (9, 1, 2, 0, "user", "user|c")]
+    got = [tuple(r) for r in reassemble(spark.createDataFrame(came, "batch int, conv_id long, turn long, first long, role string, payload string")).collect()]
+    assert sorted(got, key=str) == sorted(
+        [("release", 1, 0, 0, "user|a", None, None), ("release", 1, 1, 4, "b|b", None, None), ("release", 1, 2, 4, "user|c", None, None), ("close", 1, -1, 6, "", 0, 0), ("reject", 1, 2, 9, "user|c", None, None)], key=str
+    )
