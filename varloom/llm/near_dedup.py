@@ -27,7 +27,7 @@ from varloom.llm.common import connected_components, cut, drop_cut, released, va
 from varloom.llm.simhash_dedup import near_links
 
 WORDS, THRESHOLD, SEED = 5, 0.8, 42
-#: Shingles that COMMON documents of a sample hold come last in the order. The order decides the cost alone.
+#: Shingles that COMMON documents of a sample hold come last in the order, the most frequent at the end. The order decides the cost alone.
 SAMPLE, COMMON, MOST_COMMON = 0.02, 4, 100_000
 
 
@@ -57,7 +57,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
-def _prefixes(size: int, threshold: float, common: np.ndarray) -> Callable:
+def prefix(g: np.ndarray, threshold: float, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first n - ceil(threshold * n) + 1 of a text's n sorted shingles: those that are not common, then the common
+    ones by place, so that the most frequent come last. common is sorted, and is searched, not gone through."""
+    at = np.searchsorted(common, g)
+    at[at == len(common)] = 0
+    late = common[at] == g if len(common) else np.zeros(len(g), bool)
+    few = g[late][np.argsort(place[at[late]])]
+    return np.concatenate([g[~late], few])[: len(g) - int(np.ceil(threshold * len(g) - 1e-9)) + 1]
+
+
+def _prefixes(size: int, threshold: float, common: np.ndarray, place: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ns, keys, fps = [], [], [], []
@@ -66,8 +76,7 @@ def _prefixes(size: int, threshold: float, common: np.ndarray) -> Callable:
                 ids.append(xxhash.xxh3_128_digest(g.tobytes()))
                 fps.append(majority(g))
                 ns.append(len(g))
-                late = np.isin(g, common)
-                keys.append(np.concatenate([g[~late], g[late]])[: len(g) - int(np.ceil(threshold * len(g) - 1e-9)) + 1])
+                keys.append(prefix(g, threshold, common, place))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(ns, pa.int32()), pa.array(fps, pa.int64()), _lists(keys)], names=["doc_id", "tid", "sid", "n", "fp", "keys"])
 
     return run
@@ -81,17 +90,20 @@ def _sets(size: int) -> Callable:
     return run
 
 
-def _common(texts: DataFrame, size: int) -> np.ndarray:
+def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles in order, and the place of each from the least to the most frequent."""
     sample = texts.sample(SAMPLE, SEED).select(F.lit(b"").alias("sid"), "text")
     counts = sample.mapInArrow(released(_sets(size)), "sid binary, g array<long>").select(F.explode("g").alias("h")).groupBy("h").count()
     top = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
-    return np.array(sorted(r.h for r in top), np.int64)
+    h = np.array([r.h for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], len(h) - order  # top begins with the most frequent
 
 
 def _grouped(docs: DataFrame, key: str, text: str, size: int, threshold: float) -> DataFrame:
     """doc_id, tid (of the text), group (the first (doc_id, tid) of the component) of every row."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    rows = cut(texts.mapInArrow(released(_prefixes(size, threshold, _common(texts, size))), "doc_id long, tid long, sid binary, n int, fp long, keys array<long>"))
+    rows = cut(texts.mapInArrow(released(_prefixes(size, threshold, *_common(texts, size))), "doc_id long, tid long, sid binary, n int, fp long, keys array<long>"))
     fits = lambda a, b: F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - 1e-9
     held = rows.select(F.explode("keys").alias("key"), "sid", "n").groupBy("key").agg(F.collect_set(F.struct("sid", "n")).alias("of"))
     buckets = cut(held.where(F.size("of") > 1).withColumn("of", F.array_sort("of")))
